@@ -29,6 +29,7 @@ win AS (SELECT rid, i, word, CASE WHEN count(*) OVER f = {Q.WINDOW} THEN string_
         WINDOW f AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {Q.WINDOW - 1} FOLLOWING)),
 twice AS (SELECT rid, i, CASE WHEN key IS NOT NULL AND count(*) OVER (PARTITION BY rid, key) > 1 THEN 1 ELSE 0 END AS t FROM win),
 hit AS (SELECT rid, max(t) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {Q.WINDOW - 1} PRECEDING AND CURRENT ROW) AS h FROM twice),
+st AS (SELECT rid, count(*) AS n FROM (SELECT rid, word, lag(word) OVER (PARTITION BY rid ORDER BY i) AS before FROM w) WHERE word = before GROUP BY rid),
 rep AS (SELECT rid, CAST(sum(h) AS BIGINT) AS n FROM hit GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '{_WORDS}') GROUP BY rid),
@@ -36,8 +37,8 @@ c AS (SELECT d.doc_id, d.lang, d.source, len(regexp_extract_all(text, '{_WORDS}'
         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
-        coalesce(lines.dup, 0) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
-      FROM d LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
+        coalesce(lines.dup, 0) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(st.n, 0) AS n_stutter
+      FROM d LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN st USING (rid)),
 rated AS (SELECT *, {_rates()}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 long AS ({long}),
 levels AS (SELECT 1 AS level, lang, source, rate, bin FROM long UNION ALL SELECT 2, lang, NULL, rate, bin FROM long UNION ALL SELECT 3, NULL, NULL, rate, bin FROM long),

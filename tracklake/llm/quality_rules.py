@@ -1,6 +1,6 @@
 """Quality rules with thresholds that follow the corpus.
 
-Each document gets counts of its whole text. Five rates made of them are put into
+Each document gets counts of its whole text. Six rates made of them are put into
 fixed-bin quantile sketches, one for each language and source: a sketch is the number of
 documents in each bin, so two sketches merge by adding bins, in any order and with the
 same result. Fences are taken from the quartiles of the sketch; a source with few
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tracklake.llm import textops as X
 from tracklake.llm.cluster import materialise
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter")
 WINDOW = 8
 BINS = 1000
 #: Fence: third quartile + REACH * max(interquartile range, least spread of that rate).
@@ -35,8 +35,9 @@ MIN_GROUP = 200
 #: rate: (numerator, denominator, scale, least spread, lower fence too)
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, 15, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 160, False),
+    "stutter": ("n_stutter", "n_words", 1000, 40, False),
     "upper": ("n_upper", "word_chars", 1000, 40, False),
     "length": ("word_chars", "n_words", 10, 10, True),
 }
@@ -69,11 +70,15 @@ def count_slice(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         distinct = np.bincount(l_doc[keep], minlength=n_docs)
 
     words = np.diff(firsts)
+    hashes = X.span_hash(prefix, starts, ends)
+    same = np.zeros(len(starts), dtype=bool)
+    same[1:] = hashes[1:] == hashes[:-1]
+    same[firsts[:-1][firsts[:-1] < len(starts)]] = False
+    stutter = X.per_doc(same, firsts)
     repeat = np.zeros(n_docs, dtype=np.int64)
     ok = X.windows(firsts, WINDOW)
     at = np.flatnonzero(ok)
     if len(at):
-        hashes = X.span_hash(prefix, starts, ends)
         doc = X.doc_of(firsts, n_docs)
         key = X.mix(X.combine(hashes, WINDOW)[at] ^ X.mix(doc[at].astype(np.uint64) + np.uint64(1)))
         sorted_ = np.sort(key)
@@ -85,7 +90,7 @@ def count_slice(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             np.add.at(edge, found, 1)
             np.add.at(edge, found + WINDOW, -1)
             repeat = X.per_doc(np.cumsum(edge[:-1]) > 0, firsts)
-    return np.stack([words, chars, symbols, lines - distinct, repeat, lines, upper], axis=1)
+    return np.stack([words, chars, symbols, lines - distinct, repeat, lines, upper, stutter], axis=1)
 
 
 def counts_of(column: pa.Array) -> np.ndarray:
