@@ -86,7 +86,9 @@ def kasai(codes: np.ndarray, order: np.ndarray, limit: int, stripes: int = 2048)
         ok &= text[np.minimum(ri, n)] == text[np.clip(rj, 0, n)]
         done = ~ok
         plcp[i[done]] = np.where(j[done] >= 0, h[done], 0)
-        h = np.where(ok, h + 1, np.maximum(np.where(j >= 0, h - 1, 0), 0))
+        # past `limit` the order is one of positions, so the length carries over only along one pair
+        carry = (j >= 0) & ((h < limit) | (before[np.minimum(i + 1, n - 1)] == j + 1))
+        h = np.where(ok, h + 1, np.where(carry, np.maximum(h - 1, 0), 0))
         i = i + done
         live = i < end
         if not live.all():
