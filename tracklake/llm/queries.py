@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import classifier, decontaminate, jaccard, mixing, oracle, quality_rules, secrets, substrings
+from tracklake.llm import classifier, decontaminate, jaccard, language_model, licenses, line_templates, mixing, oracle, quality_rules, secrets, substrings
 from tracklake.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("copies", lambda c: F.concat_ws(":", c["license"], c["start"], c["end"]))
+    return found.select("doc_id", "n_copies", F.array_join("licenses", ",").alias("licenses"), F.array_join(shown, ",").alias("copies"))
+
+
+@query
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return language_model.score(table(spark, sf_dir, "documents"), good)
