@@ -1 +1 @@
-
+"""Column expressions: geometry, labels, vectors."""
