@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracklake.functions import geometry as G
 from tracklake.functions import labels as L
 from tracklake.functions import vectors as V
-from tracklake.operators import actions, evaluation, events, folds, identity, multicamera, physical, possession, team, windows
+from tracklake.operators import actions, evaluation, events, folds, greedy, identity, multicamera, physical, possession, summaries, team, windows
 from tracklake.plans.bridge import MATCH, SQL, TRACK, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -731,3 +731,113 @@ def chunk_progress(t: Tables) -> DataFrame:
 def pitch_zones(t: Tables) -> DataFrame:
     z = L.zone_labels(F.col("x_field"), F.col("y_field"), F.col("team_id"))
     return t.tracks.select("event_id", F.when(F.col("value") < 100, "green").alias("g"), z["zone"].alias("zone"), z["channel"].alias("channel"), z["own_penalty_area"].alias("own_penalty_area"))
+
+
+@query("""SELECT match_id, count(*) AS frames, avg(CASE WHEN calibration_valid THEN 1.0 ELSE 0.0 END) AS calibrated_fraction, avg(CASE WHEN replay THEN 1.0 ELSE 0.0 END) AS replay_fraction, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS ball_visible_fraction FROM tr WHERE track_id = 0 GROUP BY ALL""", "calibrated_fraction replay_fraction ball_visible_fraction")
+def match_quality_report(t: Tables) -> DataFrame:
+    f = t.tracks.where("track_id = 0").select("match_id", F.col("calibration_valid").alias("calibrated"), "replay", (F.col("event_type") != "error").alias("ball_visible"))
+    return summaries.match_quality_report(f, physical.track_quality(t.tracks.withColumn("bbox_valid", F.lit(True)), TRACK), MATCH).drop("mean_track_quality", "low_quality_tracks")
+
+
+@query("""
+WITH b AS (SELECT match_id, track_id, frame_id, (x_field * 10 + x_field * 10 + 20 + track_id) / 2 AS cx, y_field * 10 + 25 AS cy FROM tr WHERE value < 250), m AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER w = 1 THEN sqrt((cx - lag(cx) OVER w) * (cx - lag(cx) OVER w) + (cy - lag(cy) OVER w) * (cy - lag(cy) OVER w)) / 50 END AS move FROM b WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame_id))
+SELECT match_id, track_id, quantile_cont(move, 0.5) AS median_jitter FROM m GROUP BY ALL
+""", "median_jitter")
+def box_jitter(t: Tables) -> DataFrame:
+    return summaries.box_jitter(t.boxes.join(t.tracks.where("value < 250").select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_semi"), TRACK)
+
+
+@query("""
+WITH q AS (SELECT match_id, track_id, frame_id, floor(timestamp_ms / 1000) AS second, row_number() OVER (PARTITION BY match_id, track_id, floor(timestamp_ms / 1000) ORDER BY timestamp_ms) AS rn FROM tr) SELECT match_id, track_id, CAST(second AS BIGINT) AS second, frame_id FROM q WHERE rn = 1
+""")
+def first_each_second(t: Tables) -> DataFrame:
+    return summaries.first_each_second(t.tracks, TRACK).select(*TRACK, "second", "frame_id")
+
+
+@query("""
+WITH r AS (SELECT match_id, frame_id, event_type AS digest FROM tr WHERE track_id = 1), w AS (SELECT *, count(digest) OVER w AS n, min(digest) OVER w AS a, max(digest) OVER w AS b FROM r WINDOW w AS (PARTITION BY match_id ORDER BY frame_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT match_id, frame_id, digest, n = 3 AND a = b AS stable FROM w
+""")
+def scoreboard_stable_reads(t: Tables) -> DataFrame:
+    return summaries.stable_reads(t.tracks.where("track_id = 1").select(*FRAME, F.col("event_type").alias("digest")), MATCH)
+
+
+@query("""
+WITH m AS (SELECT label AS k, median(CAST(embedding[1] AS DOUBLE)) AS ma, median(CAST(embedding[2] AS DOUBLE)) AS mb FROM embeddings GROUP BY ALL), d AS (SELECT label AS k, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, ma, mb FROM embeddings JOIN m ON k = label), v AS (SELECT k, median(abs(a - ma)) AS da, median(abs(b - mb)) AS db FROM d GROUP BY ALL),
+i AS (SELECT d.k, a, b, (da <= 1e-12 OR 0.6745 * abs(a - ma) / da <= 3.5) AND (db <= 1e-12 OR 0.6745 * abs(b - mb) / db <= 3.5) AS ok FROM d JOIN v ON v.k = d.k), e AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY k) >= 3 AS enough FROM i)
+SELECT k AS label, count(*) AS rows, median(a) AS a, median(b) AS b FROM e WHERE ok OR NOT enough GROUP BY k
+""", "a b")
+def mad_pooling(t: Tables) -> DataFrame:
+    e = t.raw("embeddings").select("label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return summaries.mad_pool(e, ["label"], ["a", "b"])
+
+
+@query("""
+WITH n AS (SELECT match_id, frame_id, count(*) OVER (PARTITION BY match_id) AS n, row_number() OVER (PARTITION BY match_id ORDER BY frame_id) - 1 AS i FROM tr WHERE track_id = 0), w AS (SELECT unnest(range(0, 7)) AS k) SELECT DISTINCT match_id, frame_id FROM n, w WHERE n <= 7 OR i = round_even(k * (n - 1) / 6.0, 0)
+""")
+def even_sample(t: Tables) -> DataFrame:
+    return summaries.even_sample(t.frames.select(*FRAME), MATCH, "frame_id", 7)
+
+
+@query("""
+WITH k AS (SELECT match_id, event_type, event_id, row_number() OVER (PARTITION BY match_id, event_type ORDER BY sha256('7:' || CAST(event_id AS VARCHAR)), event_id) AS rn FROM tr) SELECT match_id, event_type, event_id FROM k WHERE rn <= 5
+""")
+def stratified_sample(t: Tables) -> DataFrame:
+    return summaries.stratified_sample(t.tracks.select("match_id", "event_type", "event_id"), MATCH, "event_type", "event_id", 5, 7)
+
+
+@query("""
+WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('3:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT doc_id, rn <= round_even(n * 0.2, 0) AS validation FROM n
+""")
+def hash_split(t: Tables) -> DataFrame:
+    return evaluation.hash_split(t.raw("labels").select("doc_id"), "doc_id", 0.2, 3)
+
+
+@query("""
+WITH b AS (SELECT match_id, frame_id, track_id AS box_id, CASE WHEN track_id % 5 = 0 THEN 'referee' ELSE 'player' END AS class_name, x_field * 10 AS x1, y_field * 10 AS y1 FROM tr WHERE track_id < 14),
+j AS (SELECT a.match_id, a.frame_id, a.box_id AS a_box_id, b.box_id AS b_box_id, greatest(least(a.x1, b.x1) + 80 - greatest(a.x1, b.x1), 0) * greatest(least(a.y1, b.y1) + 80 - greatest(a.y1, b.y1), 0) AS i FROM b a JOIN b b ON a.frame_id = b.frame_id AND a.box_id < b.box_id AND a.class_name <> b.class_name)
+SELECT match_id, frame_id, a_box_id, b_box_id, i / (12800.0 - i) AS iou FROM j WHERE i / (12800.0 - i) >= 0.3
+""", "iou")
+def player_referee_conflicts(t: Tables) -> DataFrame:
+    x, y = F.col("x_field") * 10, F.col("y_field") * 10
+    b = t.tracks.where("track_id < 14").select(*FRAME, F.col("track_id").alias("box_id"), F.when(F.col("track_id") % 5 == 0, "referee").otherwise("player").alias("class_name"), x.alias("x1"), y.alias("y1"), (x + 80).alias("x2"), (y + 80).alias("y2"))
+    return evaluation.box_conflicts(b, FRAME, 0.3, False)
+
+
+@query()
+def suppressed_boxes(t: Tables) -> DataFrame:
+    x, y = F.col("x_field") * 10, F.col("y_field") * 10
+    b = t.tracks.select(*FRAME, F.col("track_id").alias("box_id"), F.when(F.col("track_id") % 5 == 0, "referee").otherwise("player").alias("class_name"), "confidence", x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 60).alias("y2"))
+    return greedy.suppress_boxes(b, FRAME)
+
+
+@query()
+def pitch_filter(t: Tables) -> DataFrame:
+    return greedy.pitch_filter(t.tracks.select(*TRACK, "frame_id", F.when(F.col("calibration_valid"), F.col("x_field")).alias("x"), F.when(F.col("calibration_valid"), F.col("y_field")).alias("y")), TRACK)
+
+
+@query()
+def team_assignment(t: Tables) -> DataFrame:
+    return greedy.assign_teams(t.tracks.select(*TRACK, "frame_id", F.when(F.col("event_id") % 3 > 0, F.col("team_id")).alias("label")), TRACK)
+
+
+@query()
+def stable_display_ids(t: Tables) -> DataFrame:
+    pieces = windows.islands(t.tracks.where("value < 200"), TRACK, ["frame_id"], F.col("frame_id") % 60 == 0, "piece")
+    at = F.struct("x_field", "y_field")
+    p = pieces.groupBy(*TRACK, "team_id", "piece").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.min_by(at, "timestamp_ms").alias("a"), F.max_by(at, "timestamp_ms").alias("b"))
+    p = p.select("match_id", (F.col("track_id") * 1000 + F.col("piece")).alias("track_id"), "team_id", "start_ms", "end_ms", F.col("a.x_field").alias("first_x"), F.col("a.y_field").alias("first_y"), F.col("b.x_field").alias("last_x"), F.col("b.y_field").alias("last_y"))
+    return greedy.display_ids(p, MATCH)
+
+
+@query("""SELECT match_id, avg(x_field) FILTER (team_id = 'team_0') > avg(x_field) FILTER (team_id = 'team_1') AS flipped, CASE WHEN avg(x_field) FILTER (team_id = 'team_0') > avg(x_field) FILTER (team_id = 'team_1') THEN -1 ELSE 1 END AS attack_sign FROM tr GROUP BY ALL""")
+def attack_direction(t: Tables) -> DataFrame:
+    return team.attack_direction(t.tracks, MATCH).withColumn("flipped", F.col("attack_sign") == -1)
+
+
+@query("""
+WITH g AS (SELECT match_id, frame_id, team_id, avg(x_field) AS tx, avg(y_field) AS ty FROM tr WHERE track_id % 11 <> 0 GROUP BY ALL), q AS (SELECT t.match_id, t.frame_id, t.track_id, g.team_id, sqrt((t.x_field - tx) * (t.x_field - tx) + (t.y_field - ty) * (t.y_field - ty)) AS d FROM tr t JOIN g USING (match_id, frame_id) WHERE t.track_id % 11 = 0)
+SELECT match_id, frame_id, track_id, arg_min(team_id, d) AS resolved_team FROM q GROUP BY ALL
+""")
+def nearest_team_centroid(t: Tables) -> DataFrame:
+    q = t.tracks.where("track_id % 11 = 0").select(*FRAME, "track_id", "x_field", "y_field")
+    return team.nearest_team(q, t.tracks.where("track_id % 11 <> 0"), FRAME).select(*FRAME, "track_id", "resolved_team")
