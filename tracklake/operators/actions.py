@@ -31,7 +31,7 @@ def infer_touches(ball: DataFrame, tracks: DataFrame, keys: list[str], max_px: f
     r = Window.partitionBy(*keys, "run").orderBy("frame_id")
     b = b.withColumn("speed", distance(F.col("ball_x_pixel"), F.col("ball_y_pixel"), F.lag("ball_x_pixel").over(r), F.lag("ball_y_pixel").over(r)))
     b = b.withColumn("delta", F.coalesce(F.abs(F.col("speed") - F.lag("speed").over(r)), F.lit(0.0)))
-    j = b.join(tracks, [*keys, "frame_id"])
+    j = b.join(tracks.select(*keys, "frame_id", "track_id", "team_id", "foot_x_pixel", "foot_y_pixel", "x_field", "y_field"), [*keys, "frame_id"])
     px = distance(F.col("foot_x_pixel"), F.col("foot_y_pixel"), F.col("ball_x_pixel"), F.col("ball_y_pixel"))
     j = j.withColumn("distance_px", px).withColumn("distance_m", distance(F.col("x_field"), F.col("y_field"), F.col("pitch_x"), F.col("pitch_y")))
     j = j.where((F.col("distance_px") <= max_px) & F.coalesce(F.col("distance_m") <= max_m, F.lit(True)))

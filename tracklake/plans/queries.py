@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracklake.functions import geometry as G
 from tracklake.functions import labels as L
 from tracklake.functions import vectors as V
-from tracklake.operators import actions, evaluation, events, folds, greedy, identity, multicamera, physical, possession, summaries, team, windows
+from tracklake.operators import actions, evaluation, events, folds, greedy, identity, multicamera, physical, possession, roles, summaries, team, windows
+from tracklake.plans import match_analysis
 from tracklake.plans.bridge import MATCH, SQL, TRACK, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -841,3 +842,34 @@ SELECT match_id, frame_id, track_id, arg_min(team_id, d) AS resolved_team FROM q
 def nearest_team_centroid(t: Tables) -> DataFrame:
     q = t.tracks.where("track_id % 11 = 0").select(*FRAME, "track_id", "x_field", "y_field")
     return team.nearest_team(q, t.tracks.where("track_id % 11 <> 0"), FRAME).select(*FRAME, "track_id", "resolved_team")
+
+
+def _canonical(t: Tables) -> dict[str, DataFrame]:
+    tracks = t.tracks.withColumn("foot_x_pixel", F.col("x_field") * 10).withColumn("foot_y_pixel", F.col("y_field") * 10)
+    return {"tracks": tracks, "ball": t.ball}
+
+
+@query()
+def match_teams(t: Tables) -> DataFrame:
+    return match_analysis.analyse(_canonical(t))["teams"]
+
+
+@query("""
+WITH p AS (SELECT match_id, track_id, team_id, frame_id // 50 AS piece, min(timestamp_ms) AS s, max(timestamp_ms) AS e, arg_min(x_field, timestamp_ms) AS fx, arg_min(y_field, timestamp_ms) AS fy, arg_max(x_field, timestamp_ms) AS lx, arg_max(y_field, timestamp_ms) AS ly FROM tr GROUP BY ALL)
+SELECT a.match_id, a.track_id * 100 + a.piece AS a, b.track_id * 100 + b.piece AS b, CASE WHEN a.team_id <> b.team_id THEN 'team' WHEN a.track_id % 7 <> b.track_id % 7 THEN 'jersey' WHEN (b.s - a.e) / 1000 > 3 THEN 'gap' WHEN sqrt((a.lx - b.fx) * (a.lx - b.fx) + (a.ly - b.fy) * (a.ly - b.fy)) > 8 + 11 * (b.s - a.e) / 1000 THEN 'speed' END AS veto
+FROM p a JOIN p b ON a.match_id = b.match_id AND b.s > a.e AND b.s - a.e <= 5000
+""")
+def tracklet_vetoes(t: Tables) -> DataFrame:
+    at = F.struct("x_field", "y_field")
+    p = t.tracks.withColumn("piece", F.expr("frame_id div 50")).groupBy(*TRACK, "team_id", "piece").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.min_by(at, "timestamp_ms").alias("p"), F.max_by(at, "timestamp_ms").alias("q"))
+    p = p.select("match_id", (F.col("track_id") * 100 + F.col("piece")).alias("id"), "team_id", "start_ms", "end_ms", F.col("p.x_field").alias("first_x"), F.col("p.y_field").alias("first_y"), F.col("q.x_field").alias("last_x"), F.col("q.y_field").alias("last_y"), F.lit("player").alias("role"), (F.col("track_id") % 7).alias("jersey"))
+    return roles.tracklet_pairs(p, MATCH, 5000.0).select("match_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), roles.pair_veto(3.0).alias("veto"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 5 AS camera_id, value AS l, value * 1.01 + 2 + (event_id % 3) * 0.1 AS r FROM events)
+SELECT camera_id, count(*) AS events, regr_slope(r, l) AS slope, regr_intercept(r, l) AS offset_seconds, sqrt(greatest(regr_syy(r, l) - regr_slope(r, l) * regr_sxy(r, l), 0) / count(*)) AS residual_seconds, 1 / (1 + 10 * sqrt(greatest(regr_syy(r, l) - regr_slope(r, l) * regr_sxy(r, l), 0) / count(*))) AS confidence FROM e GROUP BY camera_id
+""", "slope offset_seconds residual_seconds confidence")
+def matched_event_offset(t: Tables) -> DataFrame:
+    e = t.raw("events").select((F.col("user_id") % 5).alias("camera_id"), F.col("value").alias("local_s"), (F.col("value") * 1.01 + 2 + (F.col("event_id") % 3) * 0.1).alias("reference_s"))
+    return roles.matched_offset(e, ["camera_id"])
