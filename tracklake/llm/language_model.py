@@ -7,8 +7,8 @@ A document's score is the mean over its words of the target's loss less the back
 below 0 where the target model expects the text better.
 
 Counts are taken over all words of all documents, in each task first and then summed in pieces;
-the tables have 2**bits places, bits growing with the number of documents (log2 + 3) between
-MIN_BITS and MAX_BITS, the bound of what is broadcast (2**24 places are 128 MB).
+the tables have 2**BITS places whatever the input (24 MB as broadcast), so that what tasks send
+grows with their number and no faster.
 
 Edge cases: null and empty texts have no words and score null; without any target document
 the target model is uniform; a label on several rows counts once; repeated rows count and are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
 
-MIN_BITS, MAX_BITS = 16, 24
+BITS = 20
 MASS = 8.0
 PIECES = 32
 _START = np.uint64(0x51ED270B35CB1A6D)
@@ -44,10 +44,6 @@ def places(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray,
     return firsts, (word >> shift).astype(np.int64), (before >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
 
 
-def bits_for(n_docs: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(n_docs, 1)))) + 3))
-
-
 def count(docs: DataFrame, text: str, target: str, bits: int) -> dict[str, np.ndarray]:
     """Counts of words, contexts and pairs in the target documents and in all, by place."""
     names = [f"{k}_{m}" for m in ("target", "all") for k in ("word", "before", "pair")]
@@ -97,10 +93,10 @@ def loss(model: np.ndarray, word: np.ndarray, before: np.ndarray, pair: np.ndarr
     return -np.log((model[2][pair] + MASS * model[0][word]) / (model[1][before] + MASS)).astype(np.float64)
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """id, n_words, target_loss, background_loss, score (their difference), per word."""
-    bits = bits or bits_for(docs.count())
-    flagged = docs.select(F.col(id_col).alias("lm_id"), F.col(text).alias("lm_text")).join(targets.select(F.col(id_col).alias("lm_target")).distinct(), F.col("lm_id") == F.col("lm_target"), "left").select("lm_text", F.col("lm_target").isNotNull().alias("lm_is_target"))
+    # always by sort-merge: targets grow with the corpus, so they aren't broadcast at any size
+    flagged = docs.select(F.col(id_col).alias("lm_id"), F.col(text).alias("lm_text")).join(targets.select(F.col(id_col).alias("lm_target")).distinct().hint("merge"), F.col("lm_id") == F.col("lm_target"), "left").select("lm_text", F.col("lm_target").isNotNull().alias("lm_is_target"))
     sent = docs.sparkSession.sparkContext.broadcast(tables(count(flagged, "lm_text", "lm_is_target", bits)))
     kind = dict(docs.dtypes)[id_col]
 
