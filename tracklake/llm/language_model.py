@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
+from tracklake.llm.cluster import tree_sum
 
 BITS = 20
 MASS = 8.0
@@ -63,18 +64,11 @@ def count(docs: DataFrame, text: str, target: str, bits: int) -> dict[str, np.nd
             parts = np.split(total[n].astype(np.int32), PIECES)
             yield pa.RecordBatch.from_arrays([pa.array([f"{n}:{k}" for k in range(PIECES)]), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(step, dtype=np.int64)
-        for x in t["counts"]:
-            raw = x.as_py()
-            total += np.frombuffer(raw, np.int32 if len(raw) == 4 * step else np.int64)
-        return pa.table({"piece": pa.array([t["piece"][0].as_py()]), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    rows = docs.select(text, target).mapInArrow(run, "piece string, counts binary").groupBy("piece").applyInArrow(add, "piece string, counts binary")
+    rows = tree_sum(docs.select(text, target).mapInArrow(run, "piece string, counts binary"), step)
     out = {n: np.zeros(1 << bits, dtype=np.float32) for n in names}
     for r in rows.toLocalIterator():
         n, k = r["piece"].split(":")
-        out[n][int(k) * step : (int(k) + 1) * step] = np.frombuffer(r["counts"], np.float32)
+        out[n][int(k) * step : (int(k) + 1) * step] = np.frombuffer(r["counts"], np.int64)
     return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
-from tracklake.llm.cluster import materialise
+from tracklake.llm.cluster import materialise, tree_sum
 
 MIN_DOCS = 10
 MIN_TOKENS = 3
@@ -91,14 +91,10 @@ def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
         parts = np.split(np.minimum(total, 255).astype(np.uint8), pieces)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in t["counts"])
-        return pa.table({"piece": pa.array([t["piece"][0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = docs.select(text).mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    rows = tree_sum(docs.select(text).mapInArrow(run, "piece int, counts binary"), (1 << bits) // pieces).collect()
     out = np.zeros((pieces, (1 << bits) // pieces), dtype=np.uint8)
     for r in rows:
-        out[r["piece"]] = np.frombuffer(r["counts"], np.uint8)
+        out[r["piece"]] = np.minimum(np.frombuffer(r["counts"], np.int64), 255)
     return out.reshape(-1)
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
-from tracklake.llm.cluster import materialise, shuffle_partitions
+from tracklake.llm.cluster import materialise, shuffle_partitions, tree_sum
 from tracklake.llm.decontaminate import merge
 from tracklake.llm.suffix import kasai, suffix_array
 
@@ -122,11 +122,7 @@ def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
                     total += np.bincount((gram[once] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t["counts"])
-        return pa.table({"piece": pa.array([t["piece"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select(text).mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    rows = tree_sum(docs.select(text).mapInArrow(run, "piece int, counts binary"), (1 << bits) // pieces).collect()
     out = np.zeros((pieces, (1 << bits) // pieces), dtype=np.int64)
     for r in rows:
         out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
@@ -177,7 +173,7 @@ def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray, shards: int =
     d, s, e = _ranges(doc, start, end)
     first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
     both = np.stack([s, e], axis=1).astype(np.int64)
-    return _rows(1, np.mod(d[first], shards).astype(np.int32), d[first], [x.tobytes() for x in np.split(both, first[1:])] if len(first) else [])
+    return _rows(1, (X.mix(d[first].view(np.uint64)) % np.uint64(shards)).astype(np.int32), d[first], [x.tobytes() for x in np.split(both, first[1:])] if len(first) else [])
 
 
 def scan(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, shards: int) -> DataFrame:
