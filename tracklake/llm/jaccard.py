@@ -3,11 +3,12 @@
 A document is the set of its distinct word n-grams (64-bit hashes of lower-cased words).
 
 1. Documents with the same set are one node from the start (its key is a hash of the set).
-2. A sketch of fixed size counts n-grams; it orders them rare first. Any order is right,
-   as long as all tasks use the same; the counts only make it a good one.
+2. A sketch of fixed size counts words; n-grams are ordered by the product of the frequencies of
+   their words, so rare ones come first. Any order is right, as long as all tasks use the same;
+   the counts only make it a good one. A second one, of n-grams, tells very frequent ones.
 3. Of each set the first n - ceil(t * n) + 1 n-grams in that order are its prefix. Two sets
    that link share a prefix n-gram. Prefix entries are packed into buckets by n-gram; equal
-   sets of one task are sent once. An n-gram that the sketch says is very frequent is dealt
+   sets of one task are sent once. An n-gram that is very frequent is dealt
    over several buckets.
 4. In a bucket, pairs that share an n-gram must pass the length filter and the positional
    filter. Groups of two give a pair. In larger groups each member is paired with a pivot,
@@ -15,9 +16,11 @@ A document is the set of its distinct word n-grams (64-bit hashes of lower-cased
 5. Pairs are joined with their texts, pass the suffix filter (counts of both sets over fixed
    ranges bound their difference from below) and are checked exactly, once each.
 6. Components of the links: a group whose members all are in one component needs no more
-   pairs, as further links couldn't change anything. Members of groups that are still split
-   are paired across components, filtered, and checked likewise, so no link between
-   components is lost. Groups of near copies are thus never expanded into all pairs.
+   pairs, as further links couldn't change anything. In groups that are still split, each member
+   is paired with the sets of other components that its parity signature (a suffix filter of
+   a tenth of the text's bytes) finds most similar, and a group that has no more is done: one, then 16, 256, ... in each round, until
+   none is left unchecked. So no link between components is lost, and groups of near copies
+   are never expanded into all pairs.
 
 Edge cases: null and empty texts, and those without words, have size 0 and link with nothing;
 texts of fewer words than n are one n-gram; repeated rows share a node; rows that share an
@@ -36,23 +39,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
-from tracklake.llm.cluster import materialise, shuffle_partitions
+from tracklake.llm.cluster import materialise, shuffle_partitions, tree_sum
 from tracklake.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
-SKETCH_BITS = 17
+SKETCH_BITS, WORD_BITS = 17, 20
 #: Entries of one n-gram that one bucket may get before they are dealt over several.
 HOT = 20_000
 FLUSH = 400_000
+#: Members of a split group that one task compares with as many others.
+BLOCK = 4000
+#: Groups of up to so many members share tasks.
+SMALL = 64
 _ENTRY = np.dtype([("gram", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """The sorted distinct n-grams of each document of a slice."""
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of a slice, and the first word of each document."""
     buf = X.lower_ascii(buf)
     start, end, firsts = X.word_spans(buf, offsets)
-    word = X.span_hash(X.prefix_hash(buf), start, end)
+    return X.span_hash(X.prefix_hash(buf), start, end), firsts
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct n-grams of each document of a slice."""
+    word, firsts = words(buf, offsets)
     grams = X.combine(word, width)
     for k in range(len(offsets) - 1):
         a, b = int(firsts[k]), int(firsts[k + 1])
@@ -65,6 +77,27 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> It
             yield grams[:0]
 
 
+def ranked_sets(buf: np.ndarray, offsets: np.ndarray, width: int, cost: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of a slice, and of each n-gram its rank: the summed costs of its words, then its hash."""
+    word, firsts = words(buf, offsets)
+    grams = X.combine(word, width)
+    each = cost[(word >> np.uint64(64 - (int(cost.size).bit_length() - 1))).astype(np.int64)].astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    for k in range(len(offsets) - 1):
+        a, b = int(firsts[k]), int(firsts[k + 1])
+        if b - a >= width:
+            g = grams[a : b - width + 1]
+            order = np.argsort(g)
+            order = order[np.concatenate([[True], np.diff(g[order]) != 0])]
+            at = a + order
+            yield g[order], ((total[at + width] - total[at]) << np.uint64(48)) | (g[order] & np.uint64((1 << 48) - 1))
+        elif b > a:
+            g = X.combine(word[a:b], b - a)
+            yield g, g & np.uint64((1 << 48) - 1)
+        else:
+            yield grams[:0], grams[:0]
+
+
 def set_key(grams: np.ndarray) -> int:
     if not len(grams):
         return 0
@@ -92,28 +125,28 @@ def sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n long, key long")
 
 
-def sketch(docs: DataFrame, text: str, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Documents by place of a hashed n-gram: 2**bits counts, summed over all tasks in pieces."""
-    pieces = 16
+def sketch(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by place of a hashed n-gram (2**SKETCH_BITS) and words by place of a hashed word
+    (2**WORD_BITS), summed over all tasks in pieces."""
+    size, both = 8192, (1 << SKETCH_BITS) + (1 << WORD_BITS)
+    pieces = both // size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(both, dtype=np.int64)
+        grams, single = total[: 1 << SKETCH_BITS], total[1 << SKETCH_BITS :]
         for b in batches:
             for s in X.slices(b.column(0)):
                 every = list(shingle_sets(s.buf, s.offsets, width))
-                if every:
-                    total += np.bincount((np.concatenate(every) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                grams += np.bincount((np.concatenate(every) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                np.add.at(single, (words(s.buf, s.offsets)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t["counts"])
-        return pa.table({"piece": pa.array([t["piece"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select(text).mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
-    out = np.zeros((pieces, (1 << bits) // pieces), dtype=np.int64)
+    rows = tree_sum(docs.select(text).mapInArrow(run, "piece int, counts binary"), size).collect()
+    total = np.zeros((pieces, size), dtype=np.int64)
     for r in rows:
-        out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+        total[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.reshape(-1)
+    return total[: 1 << SKETCH_BITS], total[1 << SKETCH_BITS :]
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -122,16 +155,15 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return (1 + np.maximum(counts - 2 * usual, 0) // HOT).astype(np.int64)
 
 
-def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
+def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, single: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, payload): packed prefix entries of all documents; equal sets of a task once."""
     bits = int(counts.size).bit_length() - 1
-    mean = max(1, int(np.median(counts)))
-    level = np.minimum(255, np.maximum(0, (np.log2(1 + counts / mean) * 8).astype(np.int64) - 8)).astype(np.uint64)
+    cost = np.minimum(np.log2(1 + single) * 64, 4095).astype(np.uint16)
     spread = shares(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((level, spread))  # 2**SKETCH_BITS * 16 bytes
+    sent = docs.sparkSession.sparkContext.broadcast((cost, spread))  # 2**WORD_BITS * 2 and 2**SKETCH_BITS * 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, spread = sent.value
+        cost, spread = sent.value
         shift = np.uint64(64 - bits)
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -150,7 +182,7 @@ def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.nda
 
         for b in batches:
             for s in X.slices(b.column(0)):
-                for g in shingle_sets(s.buf, s.offsets, width):
+                for g, rank in ranked_sets(s.buf, s.offsets, width, cost):
                     n = len(g)
                     key = set_key(g)
                     if not n or key in seen:
@@ -159,7 +191,6 @@ def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.nda
                         seen.clear()
                     seen.add(key)
                     p = prefix_length(n, percent)
-                    rank = (level[(g >> shift).astype(np.int64)] << np.uint64(56)) | (g & np.uint64((1 << 56) - 1))
                     at = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
                     at = at[np.argsort(rank[at])]
                     e = np.empty(p, dtype=_ENTRY)
@@ -215,15 +246,152 @@ def candidates(packed: DataFrame, percent: int, hot: np.ndarray, bits: int) -> D
     return packed.groupBy("bucket").applyInArrow(run, "a long, b long, gram long, n long, pos long")
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Parity of the number of n-grams at each of 2**k places, at least two for each n-gram. Two
+    signatures differ in no more places than the sets in n-grams; the longer one folds."""
+    bits = 64
+    while bits < 2 * len(grams):
+        bits *= 2
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def signatures_allow(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * (na + nb)
+
+
+def _fold(m: np.ndarray) -> np.ndarray:
+    half = m.shape[1] // 2
+    return m[:, :half] ^ m[:, half:]
+
+
+def best_pairs(keys: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, signs: list[bytes], tested: set[tuple[int, int]], percent: int, each: int, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs, and whether some are left for later. For each set, its `each` most similar ones, by signature, among sets of other components that may
+    link and weren't checked; pairs of a `left` with a `right` only. Sets of the largest component
+    are only ever partners, as each pair across components has another side."""
+    words = np.array([len(x) // 8 for x in signs])
+    classes = {w: np.flatnonzero(words == w) for w in np.unique(words)}
+    rows = {w: np.stack([np.frombuffer(signs[k], np.uint64) for k in at]) for w, at in classes.items()}
+    values, counts = np.unique(comp, return_counts=True)
+    out, more = [], False
+    for i in np.flatnonzero(comp != values[counts.argmax()]):
+        mine = rows[words[i]][np.searchsorted(classes[words[i]], i)][None, :]
+        near, apart = [], []
+        for w, at in classes.items():
+            ok = (comp[at] != comp[i]) & may_link(n[i], pos[i], n[at], pos[at], percent)
+            ok &= (left[i] & right[at]) | (right[i] & left[at])
+            if not ok.any() or not (w == words[i] or w == 2 * words[i] or words[i] == 2 * w):
+                continue
+            own, other = mine, rows[w][ok]
+            if w > words[i]:
+                other = _fold(other)
+            elif w < words[i]:
+                own = _fold(own)
+            d = np.bitwise_count(own ^ other).sum(axis=1).astype(np.int64)
+            fits = (100 + percent) * d <= (100 - percent) * (n[i] + n[at[ok]])
+            near.append(at[ok][fits])
+            apart.append(d[fits])
+        if not near:
+            continue
+        near, apart = np.concatenate(near), np.concatenate(apart)
+        taken = 0
+        for j in near[np.lexsort((keys[near], apart))]:
+            pair = (int(min(keys[i], keys[j])), int(max(keys[i], keys[j])))
+            if pair not in tested:
+                if taken == each:
+                    more = True
+                    break
+                out.append(pair)
+                taken += 1
+    return out, more
+
+
+def small_pairs(gram: np.ndarray, keys: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, signs: list[bytes], tested: list, percent: int, each: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """Pairs, and groups with some left for later. As best_pairs, for many groups of up to SMALL members at once: all their pairs are listed and
+    filtered as arrays, and each distinct pair's signatures are compared once."""
+    order = np.lexsort((keys, gram))
+    gram, keys, n, pos, comp = gram[order], keys[order], n[order], pos[order], comp[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    last = np.repeat(np.concatenate([first[1:], [len(gram)]]), np.diff(np.concatenate([first, [len(gram)]])))
+    after = last - np.arange(len(gram)) - 1
+    i = np.repeat(np.arange(len(gram)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    ok = (comp[i] != comp[j]) & may_link(n[i], pos[i], n[j], pos[j], percent)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return [], set()
+    _, once = np.unique(np.stack([keys[i], keys[j]], axis=1), axis=0, return_index=True)
+    i, j = i[once], j[once]
+    out, later = [], set()
+    done = {(int(o), int(keys_)) for keys_, others in ((keys[x], tested[order[x]]) for x in np.unique(np.concatenate([i, j]))) for o in others or ()}
+    words = np.array([len(signs[k]) // 8 for k in order])
+    d = np.full(len(i), -1, dtype=np.int64)
+    for w in np.unique(np.minimum(words[i], words[j])):
+        at = np.flatnonzero((np.minimum(words[i], words[j]) == w) & (np.maximum(words[i], words[j]) <= 2 * w))
+        who = np.unique(np.concatenate([i[at], j[at]]))
+        rows = np.stack([np.frombuffer(signs[order[x]], np.uint64) if words[x] == w else _fold(np.frombuffer(signs[order[x]], np.uint64)[None, :])[0] for x in who]) if len(who) else np.empty((0, w), np.uint64)
+        for part in np.array_split(at, max(1, len(at) // 4096)):
+            d[part] = np.bitwise_count(rows[np.searchsorted(who, i[part])] ^ rows[np.searchsorted(who, j[part])]).sum(axis=1)
+    fits = (d >= 0) & ((100 + percent) * d <= (100 - percent) * (n[i] + n[j]))
+    count: dict[int, int] = {}
+    i, j, d = i[fits], j[fits], d[fits]
+    for k in np.lexsort((keys[j], keys[i], d)):
+        x, y = int(keys[i[k]]), int(keys[j[k]])
+        if (x, y) in done:
+            continue
+        if count.get(x, 0) >= each and count.get(y, 0) >= each:
+            later.add(int(gram[i[k]]))
+            continue
+        count[x], count[y] = count.get(x, 0) + 1, count.get(y, 0) + 1
+        out.append((x, y))
+    return out, later
+
+
+def across(members: DataFrame, percent: int, each: int) -> DataFrame:
+    """Pairs (a, b) to check next among members (gram, key, n, pos, c, sign, tested) of groups that are
+    split, and (gram) of groups that have more for later rounds; all others are done. Small groups share tasks; a group of very many members is cut into blocks, and its
+    pairs of blocks are tasks of their own, so that memory stays bounded."""
+    shared = 4 * shuffle_partitions(members.sparkSession)
+    sizes = members.groupBy("gram").agg((1 + F.floor(F.count("*") / BLOCK)).alias("blocks"), (F.count("*") <= SMALL).alias("small"))
+    m = members.join(sizes, "gram").withColumn("own", F.pmod("key", "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    m = m.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    m = m.withColumn("task", F.when(F.col("small"), F.pmod(F.xxhash64("gram"), F.lit(shared))).otherwise(F.col("gram")))
+
+    def run(t: pa.Table) -> pa.Table:
+        col = {c: t[c].to_numpy() for c in ("gram", "key", "n", "pos", "c", "own")}
+        signs, tested = t["sign"].to_pylist(), t["tested"].to_pylist()
+        if t["small"][0].as_py():
+            pairs, later = small_pairs(*(col[c] for c in ("gram", "key", "n", "pos", "c")), signs, tested, percent, each)
+        else:
+            order = np.argsort(col["key"], kind="stable")
+            done = {(int(o), int(k)) for k, others in zip(col["key"], tested, strict=True) for o in others or ()}
+            low, high = t["low"][0].as_py(), t["high"][0].as_py()
+            own = col["own"][order]
+            pairs, more = best_pairs(*(col[c][order] for c in ("key", "n", "pos", "c")), [signs[k] for k in order], done, percent, each, own == low, own == high)
+            later = {t["gram"][0].as_py()} if more else set()
+        rest = [None] * len(later)
+        return pa.table({"a": pa.array([p[0] for p in pairs] + rest, pa.int64()), "b": pa.array([p[1] for p in pairs] + rest, pa.int64()), "gram": pa.array([None] * len(pairs) + sorted(later), pa.int64())})
+
+    cols = ("task", "small", "gram", "low", "high", "own", "key", "n", "pos", "c", "sign", "tested")
+    return m.select(*cols).groupBy("small", "task", "low", "high").applyInArrow(run, "a long, b long, gram long").distinct()
+
+
 def texts(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(key, body): compressed text of each node; equal sets of a task once."""
+    """(key, n, sign, body): size, parity signature and compressed text of each node; equal sets of
+    a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         seen: set[int] = set()
         for b in batches:
             for s in X.slices(b.column(0)):
-                keys, bodies = [], []
+                keys, sizes, signs, bodies = [], [], [], []
                 for k, g in enumerate(shingle_sets(s.buf, s.offsets, width)):
                     key = set_key(g)
                     if len(g) and key not in seen:
@@ -231,10 +399,12 @@ def texts(docs: DataFrame, text: str, width: int) -> DataFrame:
                             seen.clear()
                         seen.add(key)
                         keys.append(key)
+                        sizes.append(len(g))
+                        signs.append(signature(g))
                         bodies.append(press.compress(s.buf[s.offsets[k] : s.offsets[k + 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], names=["key", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "n", "sign", "body"])
 
-    return docs.select(text).mapInArrow(run, "key long, body binary")
+    return docs.select(text).mapInArrow(run, "key long, n long, sign binary, body binary")
 
 
 _EDGES = np.arange(1, 32, dtype=np.uint64) << np.uint64(59)
@@ -259,6 +429,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def verify(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. A pair's texts meet by two joins whose skew Spark may split."""
+    bodies = bodies.select("key", "body")
     with_b = pairs.join(bodies.withColumnsRenamed({"key": "b", "body": "body_b"}), "b")
     both = with_b.join(bodies.withColumnsRenamed({"key": "a", "body": "body_a"}), "a").select("a", "b", "body_a", "body_b")
 
@@ -286,11 +457,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     """One row per document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     measured = materialise(sets(docs, id_col, text, width))
-    counts = sketch(docs, text, width)
+    counts, single = sketch(docs, text, width)
     bits = int(counts.size).bit_length() - 1
     spread = shares(counts)
     hot = np.flatnonzero(spread > 1)
-    found = materialise(candidates(entries(docs, text, width, percent, counts, 4 * shuffle_partitions(spark)), percent, hot, bits))
+    found = materialise(candidates(entries(docs, text, width, percent, counts, single, 4 * shuffle_partitions(spark)), percent, hot, bits))
     pairs = found.where("b is not null").select("a", "b")
     members = found.where("b is null").select("gram", F.col("a").alias("key"), "n", "pos")
     # an n-gram dealt over several buckets has several pivots, which are paired with the smallest
@@ -302,25 +473,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
         pivots = dealt.groupBy("gram", F.pmod("key", "deal").alias("share")).agg(F.min("key").alias("key"))
         top = pivots.groupBy("gram").agg(F.min("key").alias("a"))
         pairs = pairs.union(pivots.join(top, "gram").where("a < key").select("a", F.col("key").alias("b")))
-    pairs = materialise(pairs.distinct())
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(members.select("key")).distinct()
     bodies = materialise(texts(docs, text, width).join(involved, "key", "left_semi").dropDuplicates(["key"]))
     links = materialise(verify(pairs, bodies, width, percent))
-    of = components(links)
-    # groups that are still split
-    label = F.coalesce("component", "key")
-    placed = members.join(of.withColumnRenamed("node", "key"), "key", "left").select("gram", "key", "n", "pos", label.alias("c"))
-    split = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
-    open_ = materialise(placed.join(split, "gram", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    length = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-    place = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & length & place)
-    more = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialise(verify(more, bodies, width, percent))
-    if late.limit(1).count():
-        of = components(links.union(late))
+    label, each = F.coalesce("component", "key"), 1
+    signs = bodies.select("key", "sign")
+    while True:
+        of = components(links)
+        placed = members.join(of.withColumnRenamed("node", "key"), "key", "left").select("gram", "key", "n", "pos", label.alias("c"))
+        split = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
+        # a pair is noted with its larger key, so that a pivot's many pairs aren't all with the pivot
+        tested = pairs.groupBy(F.col("b").alias("key")).agg(F.collect_list("a").alias("tested"))
+        open_ = placed.join(split, "gram", "left_semi").join(signs, "key").join(tested, "key", "left")
+        found = materialise(across(open_, percent, each))
+        more = found.where("gram is null").select("a", "b")
+        if not more.limit(1).count():
+            break
+        members = members.join(found.where("gram is not null").select("gram").distinct(), "gram", "left_semi")
+        links = materialise(links.union(verify(more, bodies, width, percent)))
+        pairs, each = materialise(pairs.union(more)), 16 * each
     nodes = measured.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     named = nodes.join(of.withColumnRenamed("node", "key"), "key", "left").withColumn("component", label)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
