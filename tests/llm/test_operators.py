@@ -252,6 +252,13 @@ def test_line_templates_generalise(spark):
     assert out[None].text is None
 
 
+def test_lines_recur_from_the_second_document(spark):
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(1, f"first text here\n{passage}\nSeen on page 3"), (2, f"another text altogether\n{passage}"), (3, "a third one\nSeen on page 41"), (4, "a likely line of four\nonce")]
+    out = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "another text altogether", 3: "a third one", 4: rows[3][1]}
+
+
 def test_classifier_held_out_accuracy(spark, empty):
     good = "the plain prose of a quiet river town where people walk and talk about the weather"
     rows, labels = [], []

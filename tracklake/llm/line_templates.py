@@ -7,11 +7,12 @@ at that place, and becomes <*> elsewhere. Lines of one leaf with the same result
 template, which counts if at least 60% of its tokens are constant. A masked line is also a
 template of its own, so that exact repeats are found in leaves of any mix.
 
-A template that recurs in MIN_DOCS documents or more is dropped from all documents but
-the one with the smallest id, where it stays, so that no content is lost altogether.
+A masked line that recurs in MIN_DOCS documents or more, and a generalised template that recurs in
+TEMPLATE_DOCS or more, is dropped from all documents but the one with the smallest id, where it
+stays, so that no content is lost altogether.
 
-Only hashes, counts and, for leaves that a sketch of fixed size says may recur, one copy of each
-distinct line a task has (as token hashes) are shuffled; all counts are summed before that.
+Only hashes, counts and, for leaves that a sketch of fixed size says may have a template, one copy of
+each distinct line a task has (as token hashes) are shuffled; all counts are summed before that.
 
 Edge cases: null and empty texts have one empty line and lose nothing; short lines stay; a
 document whose lines all go keeps its row with an empty text; a row with a null id loses
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from tracklake.llm import textops as X
 from tracklake.llm.cluster import materialise, tree_sum
 
-MIN_DOCS = 10
+#: Documents from which a masked line recurs, and a template with other variable fields than digits.
+MIN_DOCS, TEMPLATE_DOCS = 2, 10
 MIN_TOKENS = 3
 DEPTH = 3
 #: A token is constant at a place that 1 / SHARE of its leaf's lines have it at.
@@ -98,25 +100,25 @@ def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
-def lines(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, min_docs: int) -> DataFrame:
-    """(id, leaf, line, tokens): distinct lines of each document whose leaf may have min_docs of them;
-    tokens is null where the task has given the line's before."""
+def lines(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, template_docs: int) -> DataFrame:
+    """(id, leaf, line, tokens): distinct lines of each document; tokens is null where the leaf can't have
+    template_docs of them, or the task has given the line's before."""
     bits = int(counts.size).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS bytes
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value >= min(min_docs, 255)
+        often = sent.value >= min(template_docs, 255)
         told: set[int] = set()
         for b in batches:
             for s in X.slices(b.column(1)):
                 p = parse(s.buf, s.offsets)
                 at = _once(p["doc"], p["line"])
-                at = at[often[(p["leaf"][at] >> np.uint64(64 - bits)).astype(np.int64)]]
+                may = often[(p["leaf"][at] >> np.uint64(64 - bits)).astype(np.int64)]
                 tokens = []
-                for k in at:
+                for k, m in zip(at, may, strict=True):
                     key = int(p["line"][k])
-                    if key in told:
+                    if not m or key in told:
                         tokens.append(None)
                         continue
                     if len(told) >= 500_000:  # tokens given twice do no harm
@@ -128,26 +130,29 @@ def lines(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, min_docs:
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, leaf long, line long, tokens array<long>")
 
 
-def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(found: DataFrame, min_docs: int = MIN_DOCS, template_docs: int = TEMPLATE_DOCS) -> DataFrame:
     """(line, keeper): masked lines whose template recurs, and the smallest id that has it."""
     by_line = materialise(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("tokens").alias("tokens")))
-    leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
+    leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= template_docs)
     mixed = by_line.join(leaves, "leaf")
     each = mixed.select("leaf", "line", "n", "least", "total", F.posexplode("tokens").alias("pos", "token"))
     constant = each.where(F.col("token") != 1).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have"), F.max("total").alias("total")).where(SHARE * F.col("have") >= F.col("total")).select("leaf", "pos", "token")
     kept = each.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("n_constant"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("form"))
     general = by_line.join(kept, ["leaf", "line"]).where(10 * F.col("n_constant") >= CONSTANT * F.size("tokens")).select("leaf", "line", "n", "least", "form")
-    templates = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs"), F.min("least").alias("keeper")).where(F.col("docs") >= min_docs)
+    templates = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs"), F.min("least").alias("keeper")).where(F.col("docs") >= template_docs)
     first = general.join(templates, ["leaf", "form"]).select("line", F.col("keeper").alias("template_keeper"))
     exact = by_line.where(F.col("n") >= min_docs).select("line", F.col("least").alias("line_keeper"))
     return exact.join(first, "line", "full").select("line", F.coalesce("template_keeper", "line_keeper").alias("keeper"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs, text being what remains, with line_count and line_dropped."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
+    """All columns of docs, text being what remains, with line_count and line_dropped. min_docs, if given,
+    holds for masked lines and templates alike."""
+    template_docs = min_docs or TEMPLATE_DOCS
+    min_docs = min_docs or MIN_DOCS
     counts = sketch(docs, text)
-    found = materialise(lines(docs, id_col, text, counts, min_docs))
-    again = materialise(recurring(found, min_docs))
+    found = materialise(lines(docs, id_col, text, counts, template_docs))
+    again = materialise(recurring(found, min_docs, template_docs))
     lost = found.join(again, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("lost_lines")).withColumnRenamed("id", "lost_id")
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("row_id")).join(lost, F.col("row_id") == F.col("lost_id"), "left")
