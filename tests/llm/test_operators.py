@@ -259,6 +259,21 @@ def test_lines_recur_from_the_second_document(spark):
     assert out == {1: rows[0][1], 2: "another text altogether", 3: "a third one", 4: rows[3][1]}
 
 
+def test_line_templates_of_a_mixed_leaf(spark):
+    """Six differently worded messages of one length share a leaf of a date, a time and a number; names vary."""
+    kinds = [[f"{w}{k}" for k in "abcdefghi"] for w in ("open", "shut", "read", "send", "move", "lock")]
+    names = [f"{a}{b}" for a in "klmnpqrs" for b in "aeiou"]
+    rows, at = [], 0
+    for k, words in enumerate(kinds):
+        for n in range(12 if k else 9):
+            at += 1
+            rows.append((at, f"own text of {names[at % 40]} {words[0]} {k} x{'yz'[n % 2]} {'q' * (at + 1)}\n2024-01-{n + 1} 10:{n}:00 {n} {' '.join(words)} for {names[(5 * k + n) % 40]}"))
+    out = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {10 + 12 * k for k in range(5)}
+    assert all(("2024" in out[i]) == (i < 10 or i in first) for i, _ in rows)
+    assert all(out[i].split("\n")[0] == t.split("\n")[0] for i, t in rows)
+
+
 def test_classifier_held_out_accuracy(spark, empty):
     good = "the plain prose of a quiet river town where people walk and talk about the weather"
     rows, labels = [], []

@@ -4,8 +4,12 @@ A line of three or more tokens is masked (a token with a digit becomes <*>) and
 tree of fixed depth: number of tokens, then the first three masked tokens. At a leaf, variable
 fields are generalised: a token stays where at least a quarter of the leaf's lines have it
 at that place, and becomes <*> elsewhere. Lines of one leaf with the same result have one
-template, which counts if at least 60% of its tokens are constant. A masked line is also a
-template of its own, so that exact repeats are found in leaves of any mix.
+template, which counts if at least 60% of its tokens are constant. Lines for which the whole leaf
+gives no template are generalised again in groups: for each token that TEMPLATE_DOCS of these
+lines have at a place, the lines that have it there. A word of its own at some place is enough to find
+a template, whatever its share of the leaf; of several templates a line takes the one of the most
+documents. A masked line is also a template of its own, so that exact repeats are found in leaves of
+any mix.
 
 A masked line that recurs in MIN_DOCS documents or more, and a generalised template that recurs in
 TEMPLATE_DOCS or more, is dropped from all documents but the one with the smallest id, where it
@@ -140,11 +144,41 @@ def recurring(found: DataFrame, min_docs: int = MIN_DOCS, template_docs: int = T
     kept = each.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("n_constant"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("form"))
     general = by_line.join(kept, ["leaf", "line"]).where(10 * F.col("n_constant") >= CONSTANT * F.size("tokens")).select("leaf", "line", "n", "least", "form")
     templates = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs"), F.min("least").alias("keeper")).where(F.col("docs") >= template_docs)
-    first = general.join(templates, ["leaf", "form"]).select("line", F.col("keeper").alias("template_keeper"))
+    first = materialise(general.join(templates, ["leaf", "form"]).select("leaf", "line", F.col("keeper").alias("template_keeper")))
+    rest = materialise(mixed.where("tokens is not null").join(first, ["leaf", "line"], "left_anti").select("leaf", "line", "n", "least", "tokens"))
+    first = first.select("line", "template_keeper").union(grouped(rest, template_docs))
     exact = by_line.where(F.col("n") >= min_docs).select("line", F.col("least").alias("line_keeper"))
     return exact.join(first, "line", "full").select("line", F.coalesce("template_keeper", "line_keeper").alias("keeper"))
 
 
+def grouped(rest: DataFrame, template_docs: int) -> DataFrame:
+    """(line, template_keeper): lines of rest with a template of a group of their leaf's lines in rest, and the smallest
+    id of the lines that take the template. Groups of the same lines count once."""
+
+    def words(lines: DataFrame) -> DataFrame:
+        return lines.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != 1)
+
+    # a constant token is in 1 / SHARE of a group of template_docs at least: lines with too few such tokens have no template
+    often = words(rest).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have")).where(SHARE * F.col("have") >= template_docs)
+    fit = words(rest).join(often.select("leaf", "pos", "token"), ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("n_often"))
+    able = materialise(rest.join(fit, ["leaf", "line"]).where(10 * F.col("n_often") >= CONSTANT * F.size("tokens")).drop("n_often"))
+    common = words(able).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have"), F.bit_xor(F.xxhash64("line")).alias("same"))
+    common = common.where(F.col("have") >= template_docs).select("leaf", "pos", "token", "have", F.xxhash64("same", "have").alias("group"))
+    member = words(able).join(common, ["leaf", "pos", "token"]).select("leaf", "group", "line", "have").distinct()
+    inside = materialise(member.join(able.select("leaf", "line", "n", "tokens"), ["leaf", "line"]))
+    each = inside.select("leaf", "group", "line", "have", "n", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != 1)
+    constant = each.groupBy("leaf", "group", "pos", "token").agg(F.sum("n").alias("n_have"), F.max("have").alias("have")).where(SHARE * F.col("n_have") >= F.col("have")).select("leaf", "group", "pos", "token")
+    kept = each.select("leaf", "group", "line", "pos", "token").join(constant, ["leaf", "group", "pos", "token"]).groupBy("leaf", "group", "line").agg(F.count("*").alias("n_constant"), F.bit_xor(F.xxhash64("pos", "token")).alias("form"))
+    # the same form of two groups is one template
+    general = kept.join(able.select("leaf", "line", "n", "least", F.size("tokens").alias("size")), ["leaf", "line"]).where(10 * F.col("n_constant") >= CONSTANT * F.col("size"))
+    general = materialise(general.select("leaf", "line", "n", "least", "n_constant", "form").distinct())
+    templates = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs")).where(F.col("docs") >= template_docs)
+    best = general.join(templates, ["leaf", "form"]).groupBy("leaf", "line", "least").agg(F.max(F.struct("docs", "n_constant", "form")).alias("best"))
+    best = best.select("leaf", "line", "least", F.col("best.form").alias("form"))
+    keepers = best.groupBy("leaf", "form").agg(F.min("least").alias("template_keeper"))
+    return best.join(keepers, ["leaf", "form"]).select("line", "template_keeper")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
     """All columns of docs, text being what remains, with line_count and line_dropped. min_docs, if given,
     holds for masked lines and templates alike."""
