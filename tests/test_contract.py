@@ -36,6 +36,14 @@ def test_query_matches_sql(spark, name):
     assert sorted(tuple(shown(r[c]) for c in df.columns) for r in rows) == want
 
 
+def test_queries_without_sql_take_all_rows(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT event_id, event_id // 22 AS frame_id, event_type FROM '{SF}/events.parquet'")
+    assert QUERIES["replay_dup_suppression"](spark, SF).count() == con.execute("SELECT count(*) FROM events").fetchone()[0]
+    exits = con.execute("SELECT count(*) FROM events WHERE event_type = 'signup' AND frame_id % 40 < 36").fetchone()[0]
+    assert 0.9 * exits < QUERIES["substitution_pairs"](spark, SF).count() <= exits  # the weakest evidence gives no row
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -407,7 +407,7 @@ def assist_asof(t: Tables) -> DataFrame:
 
 @query()
 def substitution_pairs(t: Tables) -> DataFrame:
-    o = t.tracks.where("event_type in ('signup', 'purchase') and frame_id % 10 = 0").select("match_id", F.when(F.col("event_type") == "signup", "exit").otherwise("entry").alias("kind"), "timestamp_ms", "track_id", "team_id", "confidence", F.expr("event_id % 2 = 0").alias("came_from_bench"), F.col("replay").alias("from_replay"))
+    o = t.tracks.where("event_type in ('signup', 'purchase')").select("match_id", F.when(F.col("event_type") == "signup", "exit").otherwise("entry").alias("kind"), "timestamp_ms", "track_id", "team_id", "confidence", F.expr("event_id % 2 = 0").alias("came_from_bench"), F.col("replay").alias("from_replay"))
     return events.substitutions(o, MATCH, 2000.0)
 
 
@@ -415,14 +415,17 @@ _EVENTS = "ev AS (SELECT match_id, 'e' || lpad(CAST(event_id AS VARCHAR), 9, '0'
 
 
 def _events(t: Tables) -> DataFrame:
-    e = t.tracks.where("track_id in (3, 6, 14, 17) and frame_id % 20 = 5")
+    return _as_events(t.tracks.where("track_id in (3, 6, 14, 17) and frame_id % 20 = 5"))
+
+
+def _as_events(e: DataFrame) -> DataFrame:
     status = F.when(F.col("confidence") >= 0.7, "auto_confirmed").when(F.col("confidence") >= 0.4, "candidate_review_required").otherwise("unresolved")
     return e.select("match_id", F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("event_id"), F.when(F.col("track_id") % 2 == 0, "goal").otherwise("shot").alias("event_type"), "timestamp_ms", "team_id", F.col("replay").alias("in_replay"), status.alias("status"), F.when(F.col("confidence") >= 0.8, F.col("track_id")).alias("scorer_track_id"), (F.col("track_id") == 6).alias("own_goal"))
 
 
 @query()
 def replay_dup_suppression(t: Tables) -> DataFrame:
-    return events.suppress_replays(_events(t), MATCH)
+    return events.suppress_replays(_as_events(t.tracks), MATCH)
 
 
 @query(f"""
