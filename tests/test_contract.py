@@ -44,6 +44,13 @@ def test_queries_without_sql_take_all_rows(spark):
     assert 0.9 * exits < QUERIES["substitution_pairs"](spark, SF).count() <= exits  # the weakest evidence gives no row
 
 
+def test_substitutions_wait_two_minutes(spark, tmp_path):
+    """An exit in frame 0 and the team's only entry 6 s later."""
+    spark.createDataFrame([(3, "signup", 1.0), (150 * 22 + 4, "purchase", 1.0)], "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["substitution_pairs"](spark, str(tmp_path)).collect()
+    assert [(r.player_off_track_id, r.player_on_track_id, r.timestamp_ms) for r in rows] == [(3, 4, 3000.0)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -408,7 +408,7 @@ def assist_asof(t: Tables) -> DataFrame:
 @query()
 def substitution_pairs(t: Tables) -> DataFrame:
     o = t.tracks.where("event_type in ('signup', 'purchase')").select("match_id", F.when(F.col("event_type") == "signup", "exit").otherwise("entry").alias("kind"), "timestamp_ms", "track_id", "team_id", "confidence", F.expr("event_id % 2 = 0").alias("came_from_bench"), F.col("replay").alias("from_replay"))
-    return events.substitutions(o, MATCH, 2000.0)
+    return events.substitutions(o, MATCH)
 
 
 _EVENTS = "ev AS (SELECT match_id, 'e' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, CASE WHEN track_id % 2 = 0 THEN 'goal' ELSE 'shot' END AS event_type, timestamp_ms, team_id, replay AS in_replay, CASE WHEN confidence >= 0.7 THEN 'auto_confirmed' WHEN confidence >= 0.4 THEN 'candidate_review_required' ELSE 'unresolved' END AS status, CASE WHEN confidence >= 0.8 THEN track_id END AS scorer_track_id, track_id = 6 AS own_goal FROM tr WHERE track_id IN (3, 6, 14, 17) AND frame_id % 20 = 5)"
