@@ -193,6 +193,14 @@ def test_decontaminate(spark, docs, rows, empty):
     assert none == 0 and decontaminate.remove_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontaminate_judges_each_row_in_blocks(spark):
+    one, two = " ".join(f"one{k}" for k in range(12)), " ".join(f"two{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, one), (1, two), (1, one), (None, two), (None, "clean"), (2, f"{one} {two} end")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", one), ("b", two)], "item_id string, text string")
+    whole, parts = ([tuple(r) for r in decontaminate.digest(decontaminate.find_matches(docs, bench, block_chars=n)).collect()] for n in (10**6, 20))
+    assert len(parts) == 6 and sorted(whole, key=str) == sorted(parts, key=str)
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "zz " + " ".join(f"w{k}" for k in range(40)) + " yy")], "doc_id long, text string")
     bench = spark.createDataFrame([("b", "q " + " ".join(f"w{k}" for k in range(5, 30)) + " r")], "item_id string, text string")

@@ -15,7 +15,7 @@ are judged each on its own, repeated ids included.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters, each of which is sent to
 the executors and searched over all documents; documents are shuffled in neither case. With
-more than one block, ids of documents must be unique, as partial results meet by id.
+more than one block, rows are numbered and written once, and partial results meet by row.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
+from tracklake.llm.cluster import materialise
 from tracklake.llm.suffix import search, suffix_array
 
 WIDTH = 10
@@ -160,30 +161,34 @@ def find_matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", doc_
     """One row per document: id, n_words, starts and ends of the runs of hit words, items, and
     matches, the longest verbatim matches with their places."""
     kind = dict(docs.dtypes)[doc_id]
-    schema = SCHEMA.format(kind=kind)
+    schema = "row long, " + SCHEMA.format(kind=kind)
     spark = docs.sparkSession
     found = []
-    for block in list(blocks(bench, item_id, item_text, width, block_chars)) or [Block([], width)]:
+    every_block = list(blocks(bench, item_id, item_text, width, block_chars)) or [Block([], width)]
+    rows = docs.select((F.monotonically_increasing_id() if len(every_block) > 1 else F.lit(0).cast("long")).alias("row"), doc_id, doc_text)
+    if len(every_block) > 1:
+        rows = materialise(rows)  # so that a row has one number in all blocks
+    for block in every_block:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             types = pa.schema([("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])))])
             keys = ("item_id", "doc_word", "item_word", "n_words")
             for b in batches:
-                rows = list(_summaries(b.column(1), sent.value))
+                rows = list(_summaries(b.column(2), sent.value))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tolist() for r in rows], types[0].type), pa.array([r[3].tolist() for r in rows], types[1].type), pa.array([r[4] for r in rows], types[2].type), pa.array([[dict(zip(keys, m, strict=True)) for m in r[5]] for r in rows], types[3].type)],
-                    names=["id", "n_words", "starts", "ends", "items", "matches"],
+                    [b.column(0), b.column(1), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tolist() for r in rows], types[0].type), pa.array([r[3].tolist() for r in rows], types[1].type), pa.array([r[4] for r in rows], types[2].type), pa.array([[dict(zip(keys, m, strict=True)) for m in r[5]] for r in rows], types[3].type)],
+                    names=["row", "id", "n_words", "starts", "ends", "items", "matches"],
                 )
 
-        found.append(docs.select(doc_id, doc_text).mapInArrow(run, schema))
+        found.append(rows.mapInArrow(run, schema))
     if len(found) == 1:
-        return found[0]
+        return found[0].drop("row")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     union = F.udf(_union, "struct<starts:array<long>,ends:array<long>>")
-    met = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
+    met = every.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
     return met.withColumn("u", union("s", "e")).select("id", "n_words", "u.starts", "u.ends", "items", "matches")
 
 
