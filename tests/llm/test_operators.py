@@ -433,10 +433,12 @@ def brute_jaccard(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_jaccard(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(jaccard, "HOT", hot)
+@pytest.mark.parametrize("settings", [{}, {"HOT": 1, "SMALL": 2, "BLOCK": 3, "FAN_BITS": 1, "BRIEF": 8, "BUCKET": 500}])
+def test_jaccard(docs, rows, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(jaccard, k, v)
     want = brute_jaccard([(r[0], r[1]) for r in rows])
+    assert jaccard.join(docs).columns == ["doc_id", "n_shingles", "component_id"]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == want
     assert len({v[1] for v in want.values()}) < len(want) - 5
 
@@ -456,6 +458,31 @@ def test_jaccard_chains_of_near_copies(spark, empty):
     assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_jaccard_group_at_the_threshold(spark, monkeypatch, small):
+    """Copies of one text that differ from each other about as much as a link allows, so that many rounds are needed."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = np.random.RandomState(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(80):
+        words = list(base)
+        for at in rng.choice(120, rng.randint(1, 4), replace=False):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k * 7 % 83, " ".join(words)))
+    want = brute_jaccard(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len({v[1] for v in want.values()}) < 80
+
+
+def test_entries_pack():
+    rng = np.random.RandomState(2)
+    for n in (1, 5, 1000):
+        e = np.empty(n, jaccard._ENTRY)
+        e["gram"], e["key"], e["n"], e["pos"] = np.sort(rng.randint(0, 1 << 48, n)), rng.randint(-(2**63), 2**63 - 1, n), rng.randint(1, 9999, n), rng.randint(0, 99, n)
+        assert (jaccard.unpack(jaccard.pack(e), n) == e).all()
+
+
 def test_filters_are_safe():
     rng = np.random.RandomState(3)
     for _ in range(300):
@@ -469,7 +496,7 @@ def test_filters_are_safe():
         link = 100 * o >= 85 * (len(a) + len(b) - o)
         assert jaccard.linked(a, b) == link
         if link:
-            assert jaccard.suffix_filter(a, b, 85) and jaccard.signatures_allow(jaccard.signature(a), len(a), jaccard.signature(b), len(b), 85)
+            assert jaccard.signatures_allow(jaccard.signature(a), len(a), jaccard.signature(b), len(b), 85)
 
 
 def test_components(spark):

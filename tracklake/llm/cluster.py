@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +19,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tracklake-checkpoint-"))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of results of materialise() from which df is read, once nothing reads them any more."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        if leaves.apply(k).getClass().getSimpleName() == "LogicalRDD":
+            kept = leaves.apply(k).rdd().getCheckpointFile()
+            if kept.isDefined():
+                _delete(df.sparkSession, kept.get())
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+    """df as a table in the shared checkpoint folder, bucketed by key, so that joins on key don't shuffle it; it is
+    dropped at the end."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"tracklake_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.cluster import materialise
+from tracklake.llm.cluster import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,9 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         down = materialise(large)
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         new = materialise(down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(down)
         # done once each node points at one only, and none that is pointed at points on
         onward = new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u", "left_semi").limit(1).count()
         if not onward and not new.groupBy("u").count().where("count > 1").limit(1).count():
             break
+        discard(edges)
         edges = new
+    discard(edges)
     return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
