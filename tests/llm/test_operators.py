@@ -208,41 +208,49 @@ def test_longest_matches(spark):
     assert [tuple(m) for m in r.matches] == [("b", 6, 1, 25)] and (r.starts, r.ends) == ([6], [31])
 
 
-def brute_lines(rows, min_docs):
+def brute_lines(rows, min_docs, template_docs=None):
+    template_docs = template_docs or min_docs
     seen = defaultdict(set)
     parsed = []
+    masked = {}
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
-            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-            if len(tokens) >= 3:
-                parsed.append((i, k, tokens))
-                seen[tokens].add(i)
+            words = tuple(WORD.findall(line))
+            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+            if tokens:
+                key = (tokens,) if 10 * sum(w != "<*>" for w in tokens) >= 6 * len(tokens) else words
+                masked[key] = tokens
+                parsed.append((i, k, key))
+                seen[key].add(i)
     leaves = defaultdict(list)
-    for tokens in seen:
-        leaves[len(tokens), tokens[:3]].append(tokens)
-    keeper = {t: min(d) for t, d in seen.items() if len(d) >= min_docs}
-    for lines in leaves.values():
+    for key, tokens in masked.items():
+        leaves[len(tokens), tokens[:3]].append(key)
+    keeper = {t: min(d) for t, d in seen.items() if len(d) >= (min_docs if len(masked[t]) >= 3 else template_docs)}
+    for (n_tokens, _), lines in leaves.items():
         total = sum(len(seen[t]) for t in lines)
-        if total < min_docs:
+        if total < template_docs or n_tokens < 3:
             continue
         count = Counter()
         for t in lines:
-            for p, w in enumerate(t):
+            for p, w in enumerate(masked[t]):
                 count[p, w] += len(seen[t])
         forms = defaultdict(list)
         for t in lines:
-            form = tuple((p, w) for p, w in enumerate(t) if w != "<*>" and 4 * count[p, w] >= total)
-            if 10 * len(form) >= 6 * len(t):
+            form = tuple((p, w) for p, w in enumerate(masked[t]) if w != "<*>" and 4 * count[p, w] >= total)
+            if 10 * len(form) >= 6 * n_tokens:
                 forms[form].append(t)
         for ts in forms.values():
-            if sum(len(seen[t]) for t in ts) >= min_docs:
+            if sum(len(seen[t]) for t in ts) >= template_docs:
                 for t in ts:
                     keeper[t] = min(min(seen[x]) for x in ts)
     gone = {(i, k) for i, k, t in parsed if t in keeper and i != keeper[t]}
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) if t is not None else None for i, t in rows}
 
 
-def test_line_templates(docs, rows, empty):
+@pytest.mark.parametrize("settings", [{}, {"HOT": 1, "HELD": 1, "BUCKET": 50}])
+def test_line_templates(docs, rows, empty, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(line_templates, k, v)
     plain = [(r[0], r[1]) for r in rows]
     want = brute_lines(plain, 4)
     out = line_templates.dedup(docs, min_docs=4)
@@ -252,7 +260,26 @@ def test_line_templates(docs, rows, empty):
     assert line_templates.dedup(empty).count() == 0
 
 
-def test_line_templates_generalise(spark):
+def test_line_templates_keep_clashing_columns_apart(spark):
+    rows = [(1, "a line of five words\n12 30 44 9\nRead more", 5, "x"), (2, "a line of five words\n12 30 44 8\nRead more", 6, None), (2, "12 30 44 9", 7, "z"), (None, "a line of five words", 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line_count long, line string")
+    out = line_templates.dedup(docs)
+    assert out.columns == ["doc_id", "text", "line", "line_count", "line_dropped"]
+    got = sorted(((r.doc_id or 0, r.text, r.line, r.line_dropped) for r in out.collect()), key=repr)
+    assert got == sorted([(1, rows[0][1], "x", 0), (2, "12 30 44 8\nRead more", None, 1), (2, "", "z", 1), (0, rows[3][1], "y", 0)], key=repr)
+    kept = line_templates.strip(docs)
+    assert kept.dtypes == docs.dtypes and sorted(r.line_count for r in kept.collect()) == [5, 6, 7, 8]
+
+
+def test_short_lines_recur_from_the_tenth_document(spark):
+    rows = [(k, f"own text number {'abcdefghijkl'[k]} {'z' * k}\nRead more\nShare" + ("\nRare one" if k < 9 else "")) for k in range(12)]
+    out = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1] and all("Read more" not in out[k] and "Share" not in out[k] for k in range(1, 12)) and all("Rare one" in out[k] for k in range(9))
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_line_templates_generalise(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_templates, "HOT", hot)
     names = ["Anna", "Bert", "Cleo", "Dora", "Emil", "Finn", "Gus", "Hal", "Ida", "Jon", "Kim", "Lea"]
     rows = [(k, f"Posted by user {n} on day {k} at noon sharp\nown line number {n} of this very text") for k, n in enumerate(names)] + [(99, "Posted by nobody at all"), (None, None)]
     out = {r.doc_id: r for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -267,8 +294,10 @@ def test_lines_recur_from_the_second_document(spark):
     assert out == {1: rows[0][1], 2: "another text altogether", 3: "a third one", 4: rows[3][1]}
 
 
-def test_line_templates_of_a_mixed_leaf(spark):
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_line_templates_of_a_mixed_leaf(spark, monkeypatch, hot):
     """Six differently worded messages of one length share a leaf of a date, a time and a number; names vary."""
+    monkeypatch.setattr(line_templates, "HOT", hot)
     kinds = [[f"{w}{k}" for k in "abcdefghi"] for w in ("open", "shut", "read", "send", "move", "lock")]
     names = [f"{a}{b}" for a in "klmnpqrs" for b in "aeiou"]
     rows, at = [], 0
@@ -411,12 +440,12 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(docs).where("spans <> ''").count() == 0 and secrets.scan(empty).count() == 0
 
 
-def brute_jaccard(rows):
+def brute_jaccard(rows, width=4, percent=85):
     low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
     sets = {}
     for i, t in rows:
         w = WORD.findall(low(t))
-        n = min(4, len(w))
+        n = min(width, len(w))
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
     root = {i: i for i in sets}
 
@@ -427,7 +456,7 @@ def brute_jaccard(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}

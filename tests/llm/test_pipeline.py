@@ -25,9 +25,9 @@ def test_stages(spark, docs, rows, tmp_path, monkeypatch):
     kept = {r.doc_id for r in quality_rules.judge(table).where("kept").collect()}
     assert {r.doc_id for r in seen[0][2].collect()} == kept
     after = {r.doc_id: r.text for r in seen[1][2].collect()}
-    assert after == brute_lines(sorted(seen[1][1].items()), line_templates.MIN_DOCS)
+    assert after == brute_lines(sorted(seen[1][1].items()), line_templates.MIN_DOCS, line_templates.TEMPLATE_DOCS)
     assert all(r.n_chars == len(r.text) for r in seen[1][2].collect())
-    groups = brute_jaccard(seen[2][1].items())
+    groups = brute_jaccard(seen[2][1].items(), 5, 80)
     assert {r.doc_id for r in seen[2][2].collect()} == {i for i, v in groups.items() if v[1] == i}
     hits = brute_decontaminate(seen[3][1].items(), bench)
     assert {r.doc_id for r in seen[3][2].collect()} == {i for i, v in hits.items() if not v[4]} and len(hits) > len(seen[3][2].collect())

@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree.
 
-A line of three or more tokens is masked (a token with a digit becomes <*>) and parsed down a
-tree of fixed depth: number of tokens, then the first three masked tokens. At a leaf, variable
+A line is masked (a token with a digit becomes <*>) and parsed down a tree of fixed depth: number of
+tokens, then the first three masked tokens. At a leaf, variable
 fields are generalised: a token stays where at least a quarter of the leaf's lines have it
 at that place, and becomes <*> elsewhere. Lines of one leaf with the same result have one
 template, which counts if at least 60% of its tokens are constant. Lines for which the whole leaf
@@ -9,19 +9,23 @@ gives no template are generalised again in groups: for each token that TEMPLATE_
 lines have at a place, the lines that have it there. A word of its own at some place is enough to find
 a template, whatever its share of the leaf; of several templates a line takes the one of the most
 documents. A masked line is also a template of its own, so that exact repeats are found in leaves of
-any mix.
+any mix; where under 60% of a line's tokens are constant, as in rows of numbers, only lines with the same
+tokens are equal.
 
-A masked line that recurs in MIN_DOCS documents or more, and a generalised template that recurs in
-TEMPLATE_DOCS or more, is dropped from all documents but the one with the smallest id, where it
-stays, so that no content is lost altogether.
+A masked line of MIN_TOKENS tokens or more that recurs in MIN_DOCS documents or more, a shorter one or a generalised
+template that recurs in TEMPLATE_DOCS or more, is dropped from all documents but the one with the
+smallest id, where it stays, so that no content is lost altogether.
 
-Only hashes, counts and, for leaves that a sketch of fixed size says may have a template, one copy of
-each distinct line a task has (as token hashes) are shuffled; all counts are summed before that.
+Each distinct line of a task is sent once, compressed with others, to the bucket of its leaf, with its number of
+documents and their smallest id; a bucket has whole leaves and settles them. Leaves that a sketch of fixed size says are
+very frequent are dealt over several buckets by line; these only sum up lines, and the
+leaf is settled by joins on its places and tokens, with the same result.
 
-Edge cases: null and empty texts have one empty line and lose nothing; short lines stay; a
+Edge cases: null and empty texts have one empty line and lose nothing; lines without tokens stay; a
 document whose lines all go keeps its row with an empty text; a row with a null id loses
 nothing and keeps nothing from others; repeated rows count as one document each, and both
-keep their lines if theirs is the smallest id; other columns are kept.
+keep their lines if theirs is the smallest id; other columns are kept, but columns named line_count and line_dropped
+give way to the operator's own in `dedup` (`strip` keeps them). Texts are read whole, a long one as a slice of its own.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
-from tracklake.llm.cluster import materialise, tree_sum
+from tracklake.llm.cluster import materialise, shuffle_partitions, tree_sum
 
-#: Documents from which a masked line recurs, and a template with other variable fields than digits.
+#: Documents from which a masked line recurs, and a short line or a template with other variable fields than digits.
 MIN_DOCS, TEMPLATE_DOCS = 2, 10
 MIN_TOKENS = 3
 DEPTH = 3
@@ -45,17 +51,22 @@ DEPTH = 3
 SHARE = 4
 #: Constant tokens of a template, in tenths.
 CONSTANT = 6
-SKETCH_BITS = 20
+SKETCH_BITS = 17
+#: Lines of a leaf, in all documents, that one bucket may get before they are dealt over several; lines of a bucket.
+HOT, BUCKET = 50_000, 500_000
+#: Bytes of lines a task holds before it gives them out.
+HELD = 32 << 20
 _MASK = np.uint64(1)
 
 
-def parse(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The lines of a slice that have MIN_TOKENS tokens: document, number of the line in it (from 0),
-    leaf, masked line, first token and number of tokens; and the hashes of all tokens."""
+def parse(buf: np.ndarray, offsets: np.ndarray, whole: bool = True) -> dict[str, np.ndarray]:
+    """The lines of a slice that have tokens: document, number of the line in it (from 0), leaf, line (if
+    whole), first token and number of tokens, first byte and end; and the hashes of all masked tokens."""
     start, end, firsts = X.word_spans(buf, offsets)
-    token = X.span_hash(X.prefix_hash(buf), start, end)
+    plain = X.span_hash(X.prefix_hash(buf), start, end)
     digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57), dtype=np.int64)])
-    token = np.where(digits[end] > digits[start], _MASK, token)
+    masked = digits[end] > digits[start]
+    token = np.where(masked, _MASK, plain)
     breaks = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int64)])
     n_docs = len(offsets) - 1
     doc = X.doc_of(firsts, n_docs)
@@ -64,17 +75,19 @@ def parse(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.concatenate([first, [len(start)]]))
-    ok = size >= MIN_TOKENS
-    first, size = first[ok], size[ok]
     leaf = size.astype(np.uint64)
     for k in range(DEPTH):
-        leaf = X.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + token[first + k])
-    weight = X._power("mul", len(token) + 1)
-    total = np.zeros(len(token) + 1, dtype=np.uint64)
-    np.cumsum(token * weight[:-1], out=total[1:])
-    whole = X.mix((total[first + size] - total[first]) * X._power("inv", len(token) + 1)[first] + size.astype(np.uint64))
+        at = np.minimum(first + k, len(token) - 1)
+        leaf = np.where(size > k, X.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + token[at]), leaf)
     d = doc[first]
-    return {"doc": d, "number": line[first] - breaks[offsets[:-1]][d], "leaf": leaf, "line": whole, "first": first, "size": size, "token": token}
+    out = {"doc": d, "number": line[first] - breaks[offsets[:-1]][d], "leaf": leaf, "first": first, "size": size, "from": start[first], "to": end[first + size - 1], "token": token}
+    if whole:
+        n_masked = np.add.reduceat(masked.astype(np.int64), first) if len(first) else size
+        told = 10 * (size - n_masked) >= CONSTANT * size
+        total = np.zeros(len(token) + 1, dtype=np.uint64)
+        np.cumsum(np.where(np.repeat(told, size), token, plain) * X._power("mul", len(token)), out=total[1:])
+        out["line"] = X.mix((total[first + size] - total[first]) * X._power("inv", len(token) + 1)[first] + (size * 2 + ~told).astype(np.uint64))
+    return out
 
 
 def _once(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -83,72 +96,214 @@ def _once(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.sort(at)
 
 
-def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Distinct lines of documents by place of a hash of their leaf, up to 255: 2**bits counts."""
+def sketch(docs: DataFrame, text: str, bits: int | None = None) -> np.ndarray:
+    """Lines of documents by place of a hash of their leaf: 2**bits counts."""
+    bits = bits or SKETCH_BITS
     pieces = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
             for s in X.slices(b.column(0)):
-                p = parse(s.buf, s.offsets)
-                at = _once(p["doc"], p["line"])
-                np.add.at(total, (p["leaf"][at] >> np.uint64(64 - bits)).astype(np.int64), 1)
-        parts = np.split(np.minimum(total, 255).astype(np.uint8), pieces)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "counts"])
+                p = parse(s.buf, s.offsets, whole=False)
+                total += np.bincount((p["leaf"] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
     rows = tree_sum(docs.select(text).mapInArrow(run, "piece int, counts binary"), (1 << bits) // pieces).collect()
-    out = np.zeros((pieces, (1 << bits) // pieces), dtype=np.uint8)
+    out = np.zeros((pieces, (1 << bits) // pieces), dtype=np.int64)
     for r in rows:
-        out[r["piece"]] = np.minimum(np.frombuffer(r["counts"], np.int64), 255)
+        out[r["piece"]] = np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
 
 
-def lines(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, template_docs: int) -> DataFrame:
-    """(id, leaf, line, tokens): distinct lines of each document; tokens is null where the leaf can't have
-    template_docs of them, or the task has given the line's before."""
-    bits = int(counts.size).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS bytes
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Buckets over which the leaves of each place are dealt."""
+    usual = max(1, int(np.median(counts)))
+    return (1 + np.maximum(counts - 2 * usual, 0) // HOT).astype(np.int64)
+
+
+def least_of(group: np.ndarray, ids: pa.Array, groups: int) -> pa.Array:
+    """The smallest id of each group, null if all are."""
+    t = pa.table({"group": group, "id": ids}).group_by("group").aggregate([("id", "min")]).sort_by("group")
+    out = t["id_min"]
+    return (out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out) if groups else ids.slice(0, 0)
+
+
+def lines(docs: DataFrame, id_col: str, text: str, spread: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, texts, n, least): distinct lines of a task, with their number of documents and smallest id, packed."""
+    bits = int(spread.size).bit_length() - 1
+    sent = docs.sparkSession.sparkContext.broadcast(spread)  # 2**SKETCH_BITS * 8 bytes
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value >= min(template_docs, 255)
-        told: set[int] = set()
+        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+        size = 0
+
+        def give() -> pa.RecordBatch:
+            leaf, line = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            words, ids = (pa.concat_arrays([x[k] for x in held]) for k in (2, 3))
+            _, at, group = np.unique(line, return_index=True, return_inverse=True)
+            n, least = np.bincount(group), least_of(group, ids, len(at))
+            leaf, line = leaf[at], line[at]
+            deal = sent.value[(leaf >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+            bucket = (X.mix(leaf + (line % deal) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            words, least, n, bucket = words.take(pa.array(at[order])), least.take(pa.array(order)), n[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = [*first[1:], len(order)]
+            raw = [press.compress(b"\n".join(x.as_buffer().to_pybytes() for x in words.slice(f, e - f))) for f, e in zip(first, ends, strict=True)]
+            offsets = pa.array([*first, len(order)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())), pa.ListArray.from_arrays(offsets, least)], names=["bucket", "texts", "n", "least"])
+
         for b in batches:
             for s in X.slices(b.column(1)):
                 p = parse(s.buf, s.offsets)
                 at = _once(p["doc"], p["line"])
-                may = often[(p["leaf"][at] >> np.uint64(64 - bits)).astype(np.int64)]
-                tokens = []
-                for k, m in zip(at, may, strict=True):
-                    key = int(p["line"][k])
-                    if not m or key in told:
-                        tokens.append(None)
-                        continue
-                    if len(told) >= 500_000:  # tokens given twice do no harm
-                        told.clear()
-                    told.add(key)
-                    tokens.append(p["token"][p["first"][k] : p["first"][k] + p["size"][k]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.row + p["doc"][at])), pa.array(p["leaf"][at].view(np.int64)), pa.array(p["line"][at].view(np.int64)), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "leaf", "line", "tokens"])
-
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, leaf long, line long, tokens array<long>")
-
-
-def recurring(found: DataFrame, min_docs: int = MIN_DOCS, template_docs: int = TEMPLATE_DOCS) -> DataFrame:
-    """(line, keeper): masked lines whose template recurs, and the smallest id that has it."""
-    by_line = materialise(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("tokens").alias("tokens")))
+                if not len(at):
+                    continue
+                spans = np.stack([p["from"][at], p["to"][at]], axis=1).reshape(-1)
+                every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(spans) - 1, [None, pa.py_buffer(spans.astype(np.int64)), pa.py_buffer(s.buf)])
+                held.append((p["leaf"][at], p["line"][at], every.take(pa.array(np.arange(0, len(spans), 2))), b.column(0).take(pa.array(s.row + p["doc"][at]))))
+                size += int((p["to"][at] - p["from"][at]).sum()) + 48 * len(at)
+                if size >= HELD:
+                    yield give()
+                    held.clear()
+                    size = 0
+        if held:
+            yield give()
+
+    return docs.select(id_col, text).mapInArrow(run, f"bucket int, texts binary, n array<long>, least array<{kind}>")
+
+
+def _have(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Documents whose line has the same token at the place, for each line and place."""
+    out = np.empty(token.shape, dtype=np.int64)
+    for k in range(token.shape[1]):
+        _, at = np.unique(token[:, k], return_inverse=True)
+        out[:, k] = np.bincount(at, weights=n).astype(np.int64)[at]
+    return out
+
+
+def _forms(token: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """Hashes of the constant tokens with their places; 0 where too few are constant."""
+    place = X.mix(np.arange(1, token.shape[1] + 1).astype(np.uint64))
+    each = X.mix((token * np.uint64(0x9E3779B97F4A7C15)) ^ place[None, :])
+    form = np.where(constant, each, np.uint64(0)).sum(axis=1, dtype=np.uint64) | np.uint64(1)
+    return np.where(10 * constant.sum(axis=1) >= CONSTANT * token.shape[1], form, np.uint64(0))
+
+
+def leaf_templates(token: np.ndarray, n: np.ndarray, template_docs: int) -> np.ndarray:
+    """For each line of a leaf a number of its template, or 0."""
+    out = np.zeros(len(n), dtype=np.uint64)
+    form = _forms(token, (token != _MASK) & (SHARE * _have(token, n) >= n.sum()))
+    _, at = np.unique(form, return_inverse=True)
+    ok = (form > 0) & (np.bincount(at, weights=n)[at] >= template_docs)
+    out[ok] = form[ok]
+    rest = np.flatnonzero(~ok)
+    if not len(rest):
+        return out
+    # a constant token is in 1 / SHARE of a group of template_docs at least: lines with too few such tokens have no template
+    often = (token[rest] != _MASK) & (SHARE * _have(token[rest], n[rest]) >= template_docs)
+    rest = rest[10 * often.sum(axis=1) >= CONSTANT * token.shape[1]]
+    if not len(rest):
+        return out
+    t, m = token[rest], n[rest]
+    common = (t != _MASK) & (_have(t, m) >= template_docs)
+    seen: set[bytes] = set()
+    found: dict[tuple[int, int], int] = {}  # (line, form): constant tokens
+    for k in range(t.shape[1]):
+        at = np.flatnonzero(common[:, k])
+        at = at[np.argsort(t[at, k], kind="stable")]
+        for group in np.split(at, np.flatnonzero(np.diff(t[at, k])) + 1) if len(at) else ():
+            key = hashlib.blake2b(np.sort(group).tobytes(), digest_size=16).digest()
+            if key in seen:  # groups of the same lines count once
+                continue
+            seen.add(key)
+            constant = (t[group] != _MASK) & (SHARE * _have(t[group], m[group]) >= m[group].sum())
+            for i, f, c in zip(group.tolist(), _forms(t[group], constant).tolist(), constant.sum(axis=1).tolist(), strict=True):
+                if f:
+                    found[i, f] = c
+    docs: dict[int, int] = {}
+    for i, f in found:
+        docs[f] = docs.get(f, 0) + int(m[i])
+    best: dict[int, tuple[int, int, int]] = {}
+    for (i, f), c in found.items():
+        if docs[f] >= template_docs:
+            best[i] = max(best.get(i, (0, 0, 0)), (docs[f], c, f))
+    for i, (_, _, f) in best.items():
+        out[rest[i]] = np.uint64(f) ^ np.uint64(1 << 63)
+    return out
+
+
+def settled(packed: DataFrame, kind: str, spread: np.ndarray, min_docs: int, template_docs: int) -> DataFrame:
+    """(line, keeper) of lines that recur; for leaves that are dealt over several buckets also each of their lines, as
+    (leaf, line, n, least, tokens) with keeper null."""
+    bits = int(spread.size).bit_length() - 1
+    sent = packed.sparkSession.sparkContext.broadcast(spread)  # 2**SKETCH_BITS * 8 bytes
+
+    def run(t: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
+        leaf, line, size, flat = [], [], [], []
+        for x in t["texts"]:
+            raw = np.frombuffer(open_.decompress(x.as_py()), np.uint8)
+            p = parse(raw, np.array([0, len(raw)]))
+            leaf.append(p["leaf"])
+            line.append(p["line"])
+            size.append(p["size"])
+            flat.append(p["token"])
+        leaf, line, size, flat = (np.concatenate(x) for x in (leaf, line, size, flat))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        every = pc.list_flatten(t["n"].combine_chunks()).to_numpy()
+        ids = pc.list_flatten(t["least"].combine_chunks())
+        line, at, group = np.unique(line, return_index=True, return_inverse=True)
+        n = np.bincount(group, weights=every).astype(np.int64)
+        least = least_of(group, ids, len(at))
+        leaf, size, begin = leaf[at], size[at], begin[at]
+        dealt = sent.value[(leaf >> np.uint64(64 - bits)).astype(np.int64)] > 1
+        template = np.zeros(len(line), dtype=np.uint64)
+        order = np.lexsort((line, leaf))
+        for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            if len(rows) > 1 and size[rows[0]] >= MIN_TOKENS and not dealt[rows[0]] and n[rows].sum() >= template_docs:
+                token = flat[begin[rows][:, None] + np.arange(size[rows[0]])[None, :]]
+                made = leaf_templates(token, n[rows], template_docs)
+                template[rows] = np.where(made > 0, X.mix(made ^ leaf[rows[0]]) | np.uint64(1), np.uint64(0))
+        # lines of one template share its smallest id, the others keep their own
+        _, group = np.unique(np.where(template > 0, template, line), return_inverse=True)
+        shared = least_of(group, least, group.max() + 1).take(pa.array(group))
+        keeper = pc.if_else(pa.array(template > 0), shared, least)
+        alone = n >= np.where(size >= MIN_TOKENS, min_docs, template_docs)
+        out = np.flatnonzero((template > 0) | alone)
+        more = np.flatnonzero(dealt & (size >= MIN_TOKENS))
+        none = lambda k, of: pa.nulls(k, of)
+        a, b = pa.array(out), pa.array(more)
+        tokens = pa.array([flat[begin[k] : begin[k] + size[k]].view(np.int64) for k in more], pa.list_(pa.int64()))
+        long = pa.int64()
+        return pa.table({
+            "line": pa.array(np.concatenate([line[out], line[more]]).view(np.int64)),
+            "keeper": pa.concat_arrays([keeper.take(a), none(len(more), least.type)]),
+            "leaf": pa.concat_arrays([none(len(out), long), pa.array(leaf[more].view(np.int64))]),
+            "n": pa.concat_arrays([none(len(out), long), pa.array(n[more])]),
+            "least": pa.concat_arrays([none(len(out), least.type), least.take(b)]),
+            "tokens": pa.concat_arrays([none(len(out), tokens.type), tokens]),
+        })
+
+    return packed.groupBy("bucket").applyInArrow(run, f"line long, keeper {kind}, leaf long, n long, least {kind}, tokens array<long>")
+
+
+def templates(by_line: DataFrame, template_docs: int) -> DataFrame:
+    """(line, template_keeper) of the lines (leaf, line, n, least, tokens) of leaves of any size that have a template."""
+    by_line = materialise(by_line)
     leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= template_docs)
     mixed = by_line.join(leaves, "leaf")
     each = mixed.select("leaf", "line", "n", "least", "total", F.posexplode("tokens").alias("pos", "token"))
     constant = each.where(F.col("token") != 1).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have"), F.max("total").alias("total")).where(SHARE * F.col("have") >= F.col("total")).select("leaf", "pos", "token")
     kept = each.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("n_constant"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("form"))
     general = by_line.join(kept, ["leaf", "line"]).where(10 * F.col("n_constant") >= CONSTANT * F.size("tokens")).select("leaf", "line", "n", "least", "form")
-    templates = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs"), F.min("least").alias("keeper")).where(F.col("docs") >= template_docs)
-    first = materialise(general.join(templates, ["leaf", "form"]).select("leaf", "line", F.col("keeper").alias("template_keeper")))
-    rest = materialise(mixed.where("tokens is not null").join(first, ["leaf", "line"], "left_anti").select("leaf", "line", "n", "least", "tokens"))
-    first = first.select("line", "template_keeper").union(grouped(rest, template_docs))
-    exact = by_line.where(F.col("n") >= min_docs).select("line", F.col("least").alias("line_keeper"))
-    return exact.join(first, "line", "full").select("line", F.coalesce("template_keeper", "line_keeper").alias("keeper"))
+    forms = general.groupBy("leaf", "form").agg(F.sum("n").alias("docs"), F.min("least").alias("keeper")).where(F.col("docs") >= template_docs)
+    first = materialise(general.join(forms, ["leaf", "form"]).select("leaf", "line", F.col("keeper").alias("template_keeper")))
+    rest = materialise(mixed.join(first, ["leaf", "line"], "left_anti").select("leaf", "line", "n", "least", "tokens"))
+    return first.select("line", "template_keeper").union(grouped(rest, template_docs))
 
 
 def grouped(rest: DataFrame, template_docs: int) -> DataFrame:
@@ -179,42 +334,88 @@ def grouped(rest: DataFrame, template_docs: int) -> DataFrame:
     return best.join(keepers, ["leaf", "form"]).select("line", "template_keeper")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
-    """All columns of docs, text being what remains, with line_count and line_dropped. min_docs, if given,
-    holds for masked lines and templates alike."""
+def recurring(docs: DataFrame, id_col: str, text: str, min_docs: int, template_docs: int) -> DataFrame:
+    """(line, keeper): lines that recur, or whose template does, and the smallest id that has it."""
+    kind = dict(docs.dtypes)[id_col]
+    counts = sketch(docs, text)
+    spread = shares(counts)
+    buckets = max(shuffle_partitions(docs.sparkSession), int(counts.sum()) // BUCKET)
+    found = materialise(settled(lines(docs, id_col, text, spread, buckets), kind, spread, min_docs, template_docs))
+    exact = found.where("leaf is null").select("line", "keeper")
+    if not (spread > 1).any():
+        return exact
+    more = templates(found.where("leaf is not null").select("leaf", "line", "n", "least", "tokens"), template_docs)
+    return materialise(exact.join(more, "line", "full").select("line", F.coalesce("template_keeper", "keeper").alias("keeper")))
+
+
+def _pressed(docs: DataFrame, at: int) -> DataFrame:
+    """docs with the text, column `at`, compressed, and columns named by their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for b in batches:
+            raw = [press.compress(x.as_buffer()) if x.is_valid else None for x in b.column(at).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()) if k == at else c for k, c in enumerate(b.columns)], names=[f"in_{k}" for k in range(b.num_columns)])
+
+    return docs.mapInArrow(run, ", ".join(f"in_{k} {'binary' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)))
+
+
+def _stripped(docs: DataFrame, id_col: str, text: str, min_docs: int | None) -> DataFrame:
+    """The columns of docs as in_0, in_1, ..., text being what remains, and line_count and line_dropped."""
     template_docs = min_docs or TEMPLATE_DOCS
     min_docs = min_docs or MIN_DOCS
-    counts = sketch(docs, text)
-    found = materialise(lines(docs, id_col, text, counts, template_docs))
-    again = materialise(recurring(found, min_docs, template_docs))
-    lost = found.join(again, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("lost_lines")).withColumnRenamed("id", "lost_id")
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("row_id")).join(lost, F.col("row_id") == F.col("lost_id"), "left")
-    rows = rows.select("lost_lines", *[F.col("row")[n].alias(f"in_{k}") for k, n in enumerate(names)])
-    at = names.index(text) + 1
+    i_id, at = names.index(id_col), names.index(text)
+    kind = docs.schema[id_col].dataType.simpleString()
+    again = recurring(docs, id_col, text, min_docs, template_docs)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in X.slices(b.column(1)):
+                p = parse(s.buf, s.offsets)
+                k = _once(p["doc"], p["line"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.row + p["doc"][k])), pa.array(p["line"][k].view(np.int64))], names=["id", "line"])
+
+    have = docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(tell, f"id {kind}, line long")
+    lost = have.join(again, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("lost_lines")).withColumnRenamed("id", "lost_id")
+    cols = [f"in_{k}" for k in range(len(names))]
+    rows = _pressed(docs, at).join(lost, F.col(f"in_{i_id}") == F.col("lost_id"), "left").select("lost_lines", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            column, lost = b.column(at), b.column(0)
+            column, lost = b.column(at + 1), b.column(0)
             out, n_lines, n_lost = [], [], []
             for k in range(b.num_rows):
-                t = column[k].as_py()
-                parts = (t or "").split("\n")
-                n_lines.append(len(parts))
+                raw = open_.decompress(column[k].as_py()) if column[k].is_valid else None
+                n_lines.append(1 + (raw or b"").count(b"\n"))
                 if not lost[k].is_valid:
-                    out.append(t)
+                    out.append(raw)
                     n_lost.append(0)
                     continue
-                raw = np.frombuffer(t.encode(), np.uint8)
-                p = parse(raw, np.array([0, len(raw)]))
+                parts = raw.split(b"\n")
+                buf = np.frombuffer(raw, np.uint8)
+                p = parse(buf, np.array([0, len(buf)]))
                 gone = set(p["number"][np.isin(p["line"].view(np.int64), lost[k].values.to_numpy())].tolist())
-                out.append("\n".join(x for i, x in enumerate(parts) if i not in gone))
+                out.append(b"\n".join(x for i, x in enumerate(parts) if i not in gone))
                 n_lost.append(len(gone))
-            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(1, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_lost, pa.int64())], names=[f"in_{k}" for k in range(len(names))] + ["line_count", "line_dropped"])
+            arrays = [pa.array(out, pa.binary()).cast(pa.string()) if i == at + 1 else b.column(i) for i in range(1, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_lost, pa.int64())], names=[*cols, "line_count", "line_dropped"])
 
     schema = ", ".join([f"in_{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)] + ["line_count long", "line_dropped long"])
-    return rows.mapInArrow(run, schema).toDF(*names, "line_count", "line_dropped")
+    return rows.mapInArrow(run, schema)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
+    """All columns of docs, text being what remains, with line_count and line_dropped. min_docs, if given,
+    holds for masked lines and templates alike."""
+    own = ("line_count", "line_dropped")
+    return _stripped(docs, id_col, text, min_docs).select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns) if c not in own], *own)
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
+    """The columns of docs, text being what remains."""
+    return _stripped(docs, id_col, text, min_docs).select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def sha256(text: str | None) -> str:
