@@ -27,13 +27,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines whose template recurs and first stands elsewhere; n_chars follows."""
-    out = line_templates.dedup(docs).select(*docs.columns)
+    out = line_templates.strip(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    stays = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of documents linked by a 5-word shingle similarity of 0.8 or more the one with the smallest id."""
+    stays = jaccard.join(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stays, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
