@@ -422,8 +422,11 @@ def novelty_by_hand(text, corpus, identifiers=None):
         df = Counter()
         for t in corpus:
             df.update({x.lower() for run in re.findall("[A-Za-z]+", t or "") for x in re.sub("([a-z])([A-Z])", r"\1 \2", run).split()})
-        parts = [w for w, _ in sorted(((w, n) for w, n in df.items() if 3 <= len(w) <= 24 and n >= 5), key=lambda x: (-x[1], x[0]))][: secrets.DICTIONARY_WORDS]
-        identifiers = " ".join([secrets.split(secrets.IDENTIFIERS), *reversed(parts)]) + " "
+        known = [(n, w) for w, n in df.items() if 3 <= len(w) <= 24 and n >= 5]
+        bins = Counter((n >> max(0, n.bit_length() - 5)) << max(0, n.bit_length() - 5) for n, _ in known)
+        above = [b for b in bins if sum(c for x, c in bins.items() if x >= b) <= secrets.DICTIONARY_WORDS]
+        parts = [w for n, w in sorted(known) if above and n >= min(above)]
+        identifiers = " ".join([secrets.split(secrets.IDENTIFIERS), *parts]) + " "
     press = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
     cost = lambda near, x: len(press.compress(f"{near} {x} ".encode())) - len(press.compress(f"{near} ".encode()))
     out = []

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
+from tracklake.llm.cluster import materialise
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,6 +49,8 @@ NOVELTY, CONTROLS = 0.82, 4
 PIECE = 256
 #: Parts of identifiers and words from the corpus in the dictionary, documents that must have one, and its letters.
 DICTIONARY_WORDS, PART_DOCS, LETTERS = 8000, 5, (3, 24)
+#: Distinct parts a task holds before it gives them out.
+HELD_PARTS = 40_000
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HINTS = (b"key", b"secret", b"token", b"passw", b"pwd", b"auth", b"cred", b"private", b"bearer", b"sign", b"access", b"session", b"login")
 #: Identifiers that are common in code.
@@ -119,21 +122,21 @@ def part_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 low = X.lower_ascii(s.buf)
                 letter = (low >= 97) & (low <= 122)
                 upper = letter & (low != s.buf)
-                doc = np.searchsorted(s.offsets, np.arange(len(low)), side="right").astype(np.int32)
+                doc = np.repeat(np.arange(s.n_docs, dtype=np.int32), np.diff(s.offsets))
                 joined = letter[1:] & letter[:-1] & ~(upper[1:] & ~upper[:-1]) & (doc[1:] == doc[:-1])
                 begin = np.flatnonzero(letter & ~np.concatenate([[False], joined]))
                 end = np.flatnonzero(letter & ~np.concatenate([joined, [False]])) + 1
                 ok = (end - begin >= LETTERS[0]) & (end - begin <= LETTERS[1])
                 begin, end = begin[ok], end[ok]
                 key = X.span_hash(X.prefix_hash(low), begin, end)
-                once = np.unique(np.stack([doc[begin].astype(np.uint64), key]), axis=1, return_index=True)[1] if len(key) else begin
+                once = np.unique(X.mix(key ^ X.mix(doc[begin].astype(np.uint64))), return_index=True)[1]
                 key, at, n = np.unique(key[once], return_index=True, return_counts=True)
                 for k, i, c in zip(key.tolist(), once[at].tolist(), n.tolist(), strict=True):
                     if k in total:
                         total[k][1] += c
                     else:
                         total[k] = [low[begin[i] : end[i]].tobytes().decode(), c]
-                if len(total) > 200_000:
+                if len(total) > HELD_PARTS:
                     yield give()
         yield give()
 
@@ -141,10 +144,22 @@ def part_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dictionary(docs: DataFrame, text: str = "text", words: int | None = None) -> str:
-    """The fixed identifiers and the corpus's most common parts, the most common last; at most `words` rows come to
-    the driver."""
-    rows = part_counts(docs, text).where(F.col("n") >= PART_DOCS).orderBy(F.desc("n"), "part").limit(words or DICTIONARY_WORDS).collect()
-    return " ".join([split(IDENTIFIERS), *(r["part"] for r in reversed(rows))]) + " "
+    """The fixed identifiers and the corpus's most common parts, the most common last.
+
+    Counts are binned by their first five bits (under 1100 bins); of the bins from the top, as many as have `words`
+    parts at most come to the driver.
+    """
+    most = words or DICTIONARY_WORDS
+    low = F.greatest(F.length(F.bin("n")) - 5, F.lit(0))
+    parts = materialise(part_counts(docs, text).where(F.col("n") >= PART_DOCS).withColumn("low", low).withColumn("bin", F.expr("shiftleft(shiftright(n, low), low)")).drop("low"))
+    least, total = None, 0
+    for r in sorted(parts.groupBy("bin").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["bin"]
+    rows = parts.where(F.col("bin") >= least).collect() if least is not None else []
+    return " ".join([split(IDENTIFIERS), *(r["part"] for r in sorted(rows, key=lambda r: (r["n"], r["part"])))]) + " "
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
