@@ -127,7 +127,7 @@ def test_substrings_edges(spark, empty, monkeypatch):
 
 
 def test_quality_counts(docs, rows, empty):
-    got = {r.doc_id: r for r in quality_rules.judge(docs, min_group=5).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs, shrink=5).collect()}
     for i, t, *_ in rows:
         t = t or ""
         w, r = WORD.findall(t), got[i]
@@ -139,7 +139,7 @@ def test_quality_counts(docs, rows, empty):
         assert r.n_stutter == sum(a == b for a, b in zip(w, w[1:]))
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
         assert not (r.base_failed and r.kept)
-    kept = quality_rules.filter_documents(docs, min_group=5)
+    kept = quality_rules.filter_documents(docs, shrink=5)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert quality_rules.judge(empty).count() == 0 and quality_rules.filter_documents(empty).count() == 0
@@ -155,6 +155,21 @@ def test_quality_thresholds_adapt(spark, monkeypatch):
         assert [r.doc_id for r in quality_rules.judge(docs).where("not kept").collect()] == [5000]
 
 
+def test_quality_fences_are_the_groups_own(spark):
+    """A rate that most documents of one source have a little of gets a wider fence there than where it's unknown."""
+    rng = random.Random(5)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)]
+    rows = []
+    for k in range(800):
+        marked = [w + "#" * (k % 2 * rng.randint(0, 1)) if rng.random() < 0.15 else w for w in words]
+        rows.append((k, " ".join(marked if k % 2 else words), "en", "marked" if k % 2 else "plain"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.source: r for r in quality_rules.fences(quality_rules.sketches(quality_rules.measure(docs, ["lang", "source"]))).collect()}
+    assert found["marked"].high_symbols > found["plain"].high_symbols > 0
+    few = {r.source: r for r in quality_rules.fences(quality_rules.sketches(quality_rules.measure(docs.where("source = 'plain' or doc_id < 20"), ["lang", "source"]))).collect()}
+    assert found["plain"].high_symbols <= few["marked"].high_symbols < found["marked"].high_symbols
+
+
 def brute_decontaminate(docs, items, width=10):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")

@@ -8,7 +8,7 @@ from tracklake.llm import line_templates, quality_rules
 
 
 def test_stages(spark, docs, rows, tmp_path, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MIN_GROUP", 5)
+    monkeypatch.setattr(quality_rules, "SHRINK", 5)
     bench = [(1, " ".join(rows[8][1].split()[50:80])), (2, None)]
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

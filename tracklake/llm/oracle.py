@@ -15,12 +15,9 @@ def quality_rules_sql() -> str:
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, r_{k} AS bin FROM rated WHERE NOT base_failed" for k in Q.RATES)
     spread = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in Q.RATES.items()) + " END"
 
-    def tests(level: int) -> str:
-        one = []
-        for k, v in Q.RATES.items():
-            one.append(f"r_{k} <= f{level}.high_{k}" + (f" AND r_{k} >= f{level}.low_{k}" if v[4] else ""))
-        return " AND ".join(one)
-
+    tests = " AND ".join(f"2 * r_{k} <= high_{k}" + (f" AND 2 * r_{k} >= low_{k}" if v[4] else "") for k, v in Q.RATES.items())
+    at = lambda p: f"min(CASE WHEN 1000 * upto >= {p} * total THEN bin END)"
+    mean = ", ".join(f"(f1.n * f1.{c}_{k} + {Q.SHRINK} * ((f2.n * f2.{c}_{k} + {Q.SHRINK} * f3.{c}_{k}) // (f2.n + {Q.SHRINK}))) // (f1.n + {Q.SHRINK}) AS {c}_{k}" for k in Q.RATES for c in ("low", "high"))
     wide = ", ".join(f"max(CASE WHEN rate = '{k}' THEN {c} END) AS {c}_{k}" for k in Q.RATES for c in ("low", "high"))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -44,16 +41,19 @@ long AS ({long}),
 levels AS (SELECT 1 AS level, lang, source, rate, bin FROM long UNION ALL SELECT 2, lang, NULL, rate, bin FROM long UNION ALL SELECT 3, NULL, NULL, rate, bin FROM long),
 sk AS (SELECT level, lang, source, rate, bin, count(*) AS n FROM levels GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM sk),
-q AS (SELECT level, lang, source, rate, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3 FROM cum GROUP BY ALL),
-f AS (SELECT level, lang, source, rate, total, q1 - {Q.REACH} * greatest(q3 - q1, {spread}) AS low, q3 + {Q.REACH} * greatest(q3 - q1, {spread}) AS high FROM q),
-wide AS (SELECT level, lang, source, max(total) AS total, {wide} FROM f GROUP BY ALL)
+q AS (SELECT level, lang, source, rate, max(total) AS n, {at(250)} AS q1, {at(750)} AS q3, {spread} AS spread FROM cum GROUP BY ALL),
+edge AS (SELECT *, q1 - {Q.REACH} * greatest(q3 - q1, spread) AS least, q3 + {Q.REACH} * greatest(q3 - q1, spread) AS most FROM q),
+part AS (SELECT e.*, sk.bin, sk.n AS k FROM sk JOIN edge e ON e.level = sk.level AND e.rate = sk.rate AND e.lang IS NOT DISTINCT FROM sk.lang AND e.source IS NOT DISTINCT FROM sk.source WHERE sk.bin BETWEEN e.least AND e.most),
+cum2 AS (SELECT *, sum(k) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS upto, sum(k) OVER (PARTITION BY level, lang, source, rate) AS total FROM part),
+tails AS (SELECT level, lang, source, rate, n, least, most, spread, {at(500)} AS mid, {at(Q.TAIL)} AS top, {at(1000 - Q.TAIL)} AS bottom FROM cum2 GROUP BY ALL),
+f AS (SELECT level, lang, source, rate, n, CAST(greatest(0, 2 * least, 2 * mid - {Q.HALVES} * (mid - bottom) - spread) AS BIGINT) AS low, CAST(least(2 * most, 2 * mid + {Q.HALVES} * (top - mid) + spread) AS BIGINT) AS high FROM tails),
+wide AS (SELECT level, lang, source, CAST(max(n) AS BIGINT) AS n, {wide} FROM f GROUP BY ALL),
+fence AS (SELECT f1.lang, f1.source, {mean} FROM wide f1 JOIN wide f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM f1.lang JOIN wide f3 ON f3.level = 3 WHERE f1.level = 1)
 SELECT r.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(CASE WHEN f1.total >= {Q.MIN_GROUP} THEN {tests(1)} WHEN f2.total >= {Q.MIN_GROUP} THEN {tests(2)} ELSE {tests(3)} END, true) AS kept
+  NOT base_failed AND coalesce({tests}, true) AS kept
 FROM rated r
-LEFT JOIN wide f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM r.lang AND f1.source IS NOT DISTINCT FROM r.source
-LEFT JOIN wide f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM r.lang
-LEFT JOIN wide f3 ON f3.level = 3
+LEFT JOIN fence f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source
 """
 
 

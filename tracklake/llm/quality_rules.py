@@ -3,9 +3,12 @@
 Each document gets counts of its whole text. Six rates made of them are put into
 fixed-bin quantile sketches, one for each language and source: a sketch is the number of
 documents in each bin, so two sketches merge by adding bins, in any order and with the
-same result. Fences are taken from the quartiles of the sketch; a source with few
-documents falls back to the sketches of its language, then to that of all (which are
-sums of the same bins). Documents are then joined with the fences of their group.
+same result. A sketch's quartiles say which bins may be its own documents' (Tukey's outer fences, with a least
+spread where half of them have the same rate); of these bins it takes the median and the quantiles at TAIL, and
+its fences lie half as far again from the median as these. Fences are averaged with those of the language,
+and these with those of all (sketches are sums of the same bins), by numbers of documents against
+SHRINK, so that few documents decide little and no size changes the rule. Documents are then joined
+with the fences of their group.
 
 Edge cases: a null or empty text has no words and fails the base rule. Null languages
 and sources are groups of their own. Repeated rows are judged each on its own. An empty
@@ -29,9 +32,12 @@ from tracklake.llm.cluster import materialise
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter")
 WINDOW = 8
 BINS = 1000
-#: Fence: third quartile + REACH * max(interquartile range, least spread of that rate).
+#: Bins beyond the quartiles by REACH * max(interquartile range, least spread of that rate) aren't looked at.
 REACH = 3
-MIN_GROUP = 200
+#: Quantile, in thousandths, of the other bins from which a fence is taken, and its distance from the median in halves.
+TAIL, HALVES = 995, 3
+#: Documents that the language's fences weigh as many as, against a group's own; so do those of all against a language's.
+SHRINK = 200
 #: rate: (numerator, denominator, scale, least spread, lower fence too)
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, 15, False),
@@ -131,45 +137,47 @@ def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> D
     return ok.select(lang, source, F.explode(rates).alias("r")).groupBy(lang, source, "r.rate", "r.bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, and low_/high_ of each rate), from the sketches of the group, or of its
-    language if the group has under min_group documents, or of all."""
+def fences(sketch: DataFrame, lang: str = "lang", source: str = "source", shrink: int = SHRINK) -> DataFrame:
+    """(lang, source, and low_/high_ of each rate, in half bins), from the sketches of the group, its language and all."""
     from pyspark.sql import Window
 
-    sums = {
-        3: sketch.groupBy("rate", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source"), F.lit(3).alias("level"), "rate", "bin", "n"),
-        2: sketch.groupBy(lang, "rate", "bin").agg(F.sum("n").alias("n")).select(F.col(lang).alias("g_lang"), F.lit(None).cast("string").alias("g_source"), F.lit(2).alias("level"), "rate", "bin", "n"),
-        1: sketch.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.lit(1).alias("level"), "rate", "bin", "n"),
-    }
-    every = sums[1].unionByName(sums[2]).unionByName(sums[3])
-    w = Window.partitionBy("level", "g_lang", "g_source", "rate")
+    none = F.lit(None).cast("string")
+    every = sketch.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.lit(1).alias("level"), "rate", "bin", "n")
+    every = every.unionByName(sketch.groupBy(lang, "rate", "bin").agg(F.sum("n").alias("n")).select(F.col(lang).alias("g_lang"), none.alias("g_source"), F.lit(2).alias("level"), "rate", "bin", "n"))
+    every = every.unionByName(sketch.groupBy("rate", "bin").agg(F.sum("n").alias("n")).select(none.alias("g_lang"), none.alias("g_source"), F.lit(3).alias("level"), "rate", "bin", "n"))
+    group = ["level", "g_lang", "g_source"]
+    w = Window.partitionBy(*group, "rate")
     up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def at(thousandths: int) -> Column:
+        return F.min(F.when(1000 * F.col("upto") >= thousandths * F.col("total"), F.col("bin")))
+
     cum = every.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(w))
-    q = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("total"), F.col("bin")))
-    quart = cum.groupBy("level", "g_lang", "g_source", "rate").agg(q(1).alias("q1"), q(3).alias("q3"), F.max("total").alias("total"))
     spread = F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(v[3]))])[F.col("rate")]
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), spread)
-    quart = quart.select("level", "g_lang", "g_source", "rate", "total", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    wide = quart.groupBy("level", "g_lang", "g_source").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{c}_{k}") for k in RATES for c in ("low", "high")],
-    )
+    quart = cum.withColumn("q1", at(250).over(w)).withColumn("q3", at(750).over(w)).withColumn("docs", F.col("total")).withColumn("spread", spread)
+    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.col("spread"))
+    inner = quart.withColumn("least", F.col("q1") - reach).withColumn("most", F.col("q3") + reach).where(F.col("bin").between(F.col("least"), F.col("most")))
+    inner = inner.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(w))
+    tails = inner.groupBy(*group, "rate").agg(at(500).alias("mid"), at(TAIL).alias("top"), at(1000 - TAIL).alias("bottom"), F.max("docs").alias("docs"), F.max("least").alias("least"), F.max("most").alias("most"), F.max("spread").alias("spread"))
+    high = F.least(2 * F.col("most"), 2 * F.col("mid") + HALVES * (F.col("top") - F.col("mid")) + F.col("spread"))
+    low = F.greatest(F.lit(0), 2 * F.col("least"), 2 * F.col("mid") - HALVES * (F.col("mid") - F.col("bottom")) - F.col("spread"))
+    tails = tails.select(*group, "rate", "docs", low.cast("long").alias("low"), high.cast("long").alias("high"))
     cols = [f"{c}_{k}" for k in RATES for c in ("low", "high")]
-    own = wide.where("level = 1").select(F.col("g_lang").alias(lang), F.col("g_source").alias(source), F.col("total").alias("t1"), F.struct(*cols).alias("f1"))
-    by_lang = wide.where("level = 2").select(F.col("g_lang").alias("l2"), F.col("total").alias("t2"), F.struct(*cols).alias("f2"))
-    of_all = wide.where("level = 3").select(F.struct(*cols).alias("f3"))
-    out = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l2")), "left").join(F.broadcast(of_all), F.lit(True), "left")
-    pick = F.when(F.col("t1") >= min_group, F.col("f1")).when(F.col("t2") >= min_group, F.col("f2")).otherwise(F.col("f3"))
-    return out.select(lang, source, pick.alias("f")).select(lang, source, "f.*")
+    wide = tails.groupBy(*group).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{c}_{k}") for k in RATES for c in ("low", "high")])
+    own = wide.where("level = 1").select(F.col("g_lang").alias(lang), F.col("g_source").alias(source), F.col("docs").alias("n1"), F.struct(*cols).alias("f1"))
+    by_lang = wide.where("level = 2").select(F.col("g_lang").alias("l2"), F.col("docs").alias("n2"), F.struct(*cols).alias("f2"))
+    of_all = wide.where("level = 3").select(F.struct(*cols).alias("f3"))  # one row
+    out = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l2"))).join(F.broadcast(of_all), F.lit(True))
+    return out.select(lang, source, *[F.expr(f"(n1 * f1.{c} + {shrink} * ((n2 * f2.{c} + {shrink} * f3.{c}) div (n2 + {shrink}))) div (n1 + {shrink})").alias(c) for c in cols])
 
 
 def inside() -> Column:
     """Whether every rate is within the fences on the row; true where the group has none."""
     out = F.lit(True)
     for k, v in RATES.items():
-        ok = rate(k) <= F.col(f"high_{k}")
+        ok = 2 * rate(k) <= F.col(f"high_{k}")
         if v[4]:
-            ok = ok & (rate(k) >= F.col(f"low_{k}"))
+            ok = ok & (2 * rate(k) >= F.col(f"low_{k}"))
         out = out & F.coalesce(ok, F.lit(True))
     return out
 
@@ -189,18 +197,18 @@ def join_fences(counted: DataFrame, fence: DataFrame, lang: str = "lang", source
     return rows.join(salted, on & (F.col("r_salt") == F.col("f_salt")), "left")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source", shrink: int = SHRINK) -> DataFrame:
     """One row per document: id, counts, base_failed, kept."""
     counted = measure(docs, [id_col, lang, source], text_col)
-    fence = fences(sketches(counted, lang, source), lang, source, min_group)
+    fence = fences(sketches(counted, lang, source), lang, source, shrink)
     joined = join_fences(counted, fence, lang, source)
     return joined.select(id_col, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & inside()).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def filter_documents(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", shrink: int = SHRINK) -> DataFrame:
     """The documents that are kept, with all their columns. Texts aren't shuffled: the
     second pass counts again and meets the fences in place."""
-    fence = fences(sketches(measure(docs, [lang, source], text_col), lang, source), lang, source, min_group)
+    fence = fences(sketches(measure(docs, [lang, source], text_col), lang, source), lang, source, shrink)
     names = docs.columns
     at = names.index(text_col)
 
