@@ -126,6 +126,18 @@ def test_substrings_edges(spark, empty, monkeypatch):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_of_repeated_and_text_ids(spark):
+    text = "".join(chr(97 + (k * k + k // 7) % 23) for k in range(600))
+    rows = [(1, text), (1, text[50:460]), (2, text[100:400]), (3, "b" * 150), (None, text)]
+    for kind, of in (("long", lambda i: i), ("string", lambda i: None if i is None else f"id{i}")):
+        docs = spark.createDataFrame([(of(i), t, 5) for i, t in rows], f"doc_id {kind}, text string, n_removed int")
+        got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes), r.n_removed) for r in substrings.dedup(docs).where("doc_id is not null").collect())
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        order = sorted([r for r in rows if r[0]], key=lambda r: (r[0], sha(r[1])))
+        want = brute_substrings([(k, t) for k, (_, t) in enumerate(order)])
+        assert got == sorted(((False, of(i), len(t)), want[k][1]) for k, (i, t) in enumerate(order))
+
+
 def test_quality_counts(docs, rows, empty):
     got = {r.doc_id: r for r in quality_rules.judge(docs, shrink=5).collect()}
     for i, t, *_ in rows:
@@ -170,6 +182,14 @@ def test_quality_fences_are_the_groups_own(spark):
     assert found["plain"].high_symbols <= few["marked"].high_symbols < found["marked"].high_symbols
 
 
+def test_mixing_with_clashing_columns(spark):
+    rows = [(k, "a b c " * (k % 5), "x" if k % 3 else None, 1, 2, "c") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size int, mix_copies int, copy string")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "copy", *mixing.OUTPUTS] and mixed.count() == 40
+    assert mixing.repeat(mixed, mixed.columns).columns == ["doc_id", "text", "source", *mixing.OUTPUTS, "copy"]
+
+
 def brute_decontaminate(docs, items, width=10):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")

@@ -1,9 +1,10 @@
 """Benchmark decontamination by suffix arrays over training text.
 
-Training documents are cut into shards of about a megabyte. In each, the runs of words
+Training documents are cut into shards of about SHARD bytes (a longer one is a shard of its own). In each, the runs of words
 that all occur in the benchmark are put into a suffix array of word numbers (other words
-can't be part of a match and end a run). Every benchmark suffix is then binary-searched
-in every shard; the ranges it gets are the places where the next `width` words of the item
+can't be part of a match and end a run). Every benchmark suffix whose
+words all occur in the shard is then binary-searched there (any other can't be found; they are taken by
+their rarest word, so that the work follows the shard, not the benchmark); the ranges it gets are the places where the next `width` words of the item
 (or the whole item, if shorter) stand verbatim. Neighbouring hits on one diagonal are
 merged into the longest verbatim matches. Affected documents can be removed whole.
 
@@ -11,7 +12,8 @@ Words: ASCII letters lower-cased, runs of anything but ASCII non-alphanumerics.
 
 Edge cases: null and empty texts have no words and never match; items without words are
 ignored; an item id on several rows counts once; an empty benchmark finds nothing; rows
-are judged each on its own, repeated ids included.
+are judged each on its own, repeated and null ids included. Other columns aren't read by `find_matches`, whatever their
+names, and all kept by `remove_contaminated`.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters, each of which is sent to
 the executors and searched over all documents; documents are shuffled in neither case. With
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from tracklake.llm.suffix import search, suffix_array
 
 WIDTH = 10
 BLOCK_CHARS = 16_000_000
+SHARD = 3 << 20
 
 
 class Block:
@@ -59,10 +63,27 @@ class Block:
         offset = np.arange(len(item)) - np.concatenate([[0], np.cumsum(np.maximum(n - length + 1, 0) * (n > 0))])[item] if len(item) else np.empty(0, np.int64)
         padded = np.concatenate([codes, np.zeros(width, dtype=np.int64)])
         self.item, self.offset, self.length = item, offset, length[item]
-        self.queries = padded[(first[item] + offset)[:, None] + np.arange(width)] if len(item) else np.empty((0, width), np.int64)
+        self.queries = (padded[(first[item] + offset)[:, None] + np.arange(width)] if len(item) else np.empty((0, width), np.int64)).astype(np.int32)
+        # queries by the word of theirs that the benchmark has least often
+        often = np.bincount(codes, minlength=len(self.vocab) + 1)
+        inside = np.arange(width)[None, :] < self.length[:, None]
+        rare = self.queries[np.arange(len(item)), np.where(inside, often[self.queries], len(codes) + 1).argmin(axis=1)] if len(item) else np.empty(0, np.int32)
+        self.by_rare = np.argsort(rare, kind="stable")
+        self.rare_first = np.searchsorted(rare[self.by_rare], np.arange(len(self.vocab) + 2))
         self.shortest = int(self.length.min()) if len(item) else 0
 
 
+def possible(block: Block, code: np.ndarray) -> np.ndarray:
+    """Queries whose words are all among the codes: only those whose rarest word is are looked at."""
+    present = np.zeros(len(block.vocab) + 1, dtype=bool)
+    present[code] = True
+    has = np.flatnonzero(present[1:]) + 1
+    first, n = block.rare_first[has], block.rare_first[has + 1] - block.rare_first[has]
+    query = block.by_rare[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(has) else block.by_rare[:0]
+    inside = np.arange(block.queries.shape[1])[None, :] < block.length[query][:, None]
+    return np.sort(query[(present[block.queries[query]] | ~inside).all(axis=1)])
+
+
 def find_in_slice(buf: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarray, dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """First word of each document, hits (doc, word position in the slice, query), word spans."""
     buf = X.lower_ascii(buf)
@@ -90,10 +111,13 @@ def find_in_slice(buf: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[n
     base = np.concatenate([[0], np.cumsum(total)])
     source = np.arange(base[-1]) - np.repeat(base[:-1], total) + np.repeat(run, total)
     text = np.where(np.arange(base[-1]) - np.repeat(base[:-1], total) < np.repeat(size, total), code[np.minimum(source, len(code) - 1)], 0)
-    order = suffix_array(text, int(block.length.max()), np.flatnonzero(text))
-    low, high = search(text, order, block.queries, block.length)
+    asked = possible(block, text[text > 0])
+    if not len(asked):
+        return firsts, none, (start, end)
+    order = suffix_array(text, int(block.length[asked].max()), np.flatnonzero(text))
+    low, high = search(text, order, block.queries[asked].astype(np.int64), block.length[asked])
     n = high - low
-    query = np.repeat(np.arange(len(n)), n)
+    query = np.repeat(asked, n)
     slot = np.arange(len(query)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.repeat(low, n)
     at = source[order[slot]] if len(slot) else np.empty(0, np.int64)
     return firsts, {"doc": np.searchsorted(firsts, at, side="right") - 1, "at": at, "query": query}, (start, end)
@@ -101,7 +125,7 @@ def find_in_slice(buf: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[n
 
 def _summaries(column: pa.Array, block: Block) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str], list[tuple[str, int, int, int]]]]:
     """(row, words, starts and ends of hit words' runs, item ids, longest matches) of each document."""
-    for s in X.slices(column):
+    for s in X.slices(column, SHARD):
         firsts, hits, _ = find_in_slice(s.buf, s.offsets, block)
         order = np.argsort(hits["doc"], kind="stable")
         doc = hits["doc"][order]
@@ -164,11 +188,14 @@ def find_matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", doc_
     schema = "row long, " + SCHEMA.format(kind=kind)
     spark = docs.sparkSession
     found = []
-    every_block = list(blocks(bench, item_id, item_text, width, block_chars)) or [Block([], width)]
-    rows = docs.select((F.monotonically_increasing_id() if len(every_block) > 1 else F.lit(0).cast("long")).alias("row"), doc_id, doc_text)
-    if len(every_block) > 1:
+    size = bench.agg(F.sum(F.length(item_text))).first()[0] or 0
+    several = size > block_chars
+    rows = docs.select((F.monotonically_increasing_id() if several else F.lit(0).cast("long")).alias("row"), doc_id, doc_text)
+    if several:
         rows = materialise(rows)  # so that a row has one number in all blocks
-    for block in every_block:
+    every = blocks(bench, item_id, item_text, width, block_chars)
+    # one block at a time is in the driver's memory, and later only on disk, as a broadcast
+    for block in chain([next(every, None) or Block([], width)], every):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -215,7 +242,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, doc_text: str = "text
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)
-                for s in X.slices(b.column(at)):
+                for s in X.slices(b.column(at), SHARD):
                     _, hits, _ = find_in_slice(s.buf, s.offsets, sent.value)
                     clean[s.row + hits["doc"]] = False
                 yield b.filter(pa.array(clean))

@@ -12,8 +12,10 @@ brings the running total nearest to what the rates ask for.
 
 Edge cases: null and empty texts have size 0, take no copies and don't count; a null source
 is a source of its own, last in order; an empty table gives an empty result; repeated rows
-take copies each on its own; all other columns are kept. Multipliers are rounded to 6
-digits once they have converged, so that the order of summation doesn't show in reruns.
+take copies each on its own, those of one id and size in any order, as they are alike; all other columns are kept, but
+columns with the names of the operator's own (OUTPUTS, and `copy` in `repeat`) give way to these. Texts are
+counted whole. Multipliers are rounded to 6 digits once they have converged, so that the order of
+summation doesn't show in reruns.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.cluster import materialise
+from tracklake.llm.cluster import discard, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 MAX_STEPS = 60
 TOLERANCE = 1e-9
+OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 BLOCK_ROWS = 2048
 BLOCK_WORDS = 1_000_000
 #: Up to so many sources (a row of some 100 bytes each) are broadcast; more are joined by key.
@@ -104,7 +107,8 @@ def solve(histogram: DataFrame, targets: DataFrame, source: str = "source", cap:
         new = F.col("l") + step
         new = F.when((low.isNotNull() & (new <= low)) | (high.isNotNull() & (new >= high)), F.coalesce((low + high) / 2, F.col("l") + F.signum(-off) * most)).otherwise(new)
         near = F.abs(off) <= TOLERANCE * F.col("target")
-        state = materialise(s.select(source, "source_size", "docs", "target", F.when(F.col("done") | near, F.col("l")).otherwise(new).alias("l"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")))
+        old, state = state, materialise(s.select(source, "source_size", "docs", "target", F.when(F.col("done") | near, F.col("l")).otherwise(new).alias("l"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")))
+        discard(old)
     found = F.when(size == 0, F.lit(None)).when(full, F.lit(float("inf"))).otherwise(F.round("l", 6))
     return state.select(source, "source_size", "docs", "target", found.alias("multiplier"))
 
@@ -127,7 +131,7 @@ def copies_of(size: np.ndarray, rates: np.ndarray) -> np.ndarray:
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Columns `keep` (all by default) of each document, with mix_size, mix_source_size,
     mix_target and mix_copies."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     sized = docs.select(F.col(id_col).alias("mix_id"), F.col(source).alias("mix_src"), word_count(text).alias("size"), F.struct(*keep).alias("mix_row"))
     histogram = materialise(sized.groupBy("mix_src", "size").agg(F.count("*").alias("n")))
     solved = materialise(solve(histogram, source_targets(histogram, "mix_src", weights, share, cap), "mix_src", cap))
@@ -143,9 +147,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     out = rows.groupBy("mix_src", "block").applyInArrow(rounded, fields + ", copies long")
-    return out.select("mix_row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
+    return out.select(*[F.col("mix_row")[c].alias(c) for c in keep], F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each copy taken: columns and `copy`, from 1."""
-    return mixed.where("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
+    return mixed.where("mix_copies > 0").select(*[c for c in columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))

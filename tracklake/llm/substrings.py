@@ -21,11 +21,14 @@ bytes, and equal strings have equal anchors at equal places.
 5. Covered ranges meet their documents and are cut out.
 
 No string is dropped or sampled, and none is compared by hash alone where contexts differ;
-equal contexts have equal 128 bits.
+equal contexts have equal 128 bits, and so have strings of dealt anchors in step 4 (two hashes of the whole string, read
+from either end).
 
 Edge cases: null texts are empty; texts under 100 bytes keep everything; a null id takes no
 part (nothing is removed from it or because of it); rows that repeat an id and its text are one
-document; ids are integers and name one text each.
+document; where ids aren't integers, or rows share an id but not a text, rows are numbered by id and a hash of the
+text first, and judged in that order, each by its own text. Long texts come in chunks of CHUNK strings. Other columns
+aren't read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm import textops as X
@@ -49,6 +52,8 @@ LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 20
 SKETCH_BITS = 17
+#: Bytes of text for which there is a shard.
+SHARD_BYTES = 16 << 20
 #: Contexts of one anchor that one shard may get before they are dealt over several.
 HOT = 20_000
 FLUSH = 400_000
@@ -330,9 +335,10 @@ def arrays(contexts: DataFrame, counts: np.ndarray, shards: int, length: int = L
         hot = ~later & np.isin(e["gram"][who] >> np.uint64(64 - bits), dealt)
         if hot.any():
             spot = sa[hot]
-            prefix = X.prefix_hash((codes & 255).astype(np.uint8))
+            raw = (codes & 255).astype(np.uint8)
+            prefix, other = X.prefix_hash(raw), X.prefix_hash(raw[::-1])
             s = np.empty(len(spot), dtype=string)
-            s["a"], s["b"] = X.span_hash(prefix, spot, spot + length, seed=3), X.span_hash(prefix, spot, spot + length // 2, seed=4)
+            s["a"], s["b"] = X.span_hash(prefix, spot, spot + length, seed=3), X.span_hash(other, len(raw) - spot - length, len(raw) - spot, seed=4)
             s["doc"], s["start"] = doc[hot], start[hot]
             shard = (s["a"] % np.uint64(shards)).astype(np.int32)
             by = np.argsort(shard, kind="stable")
@@ -358,7 +364,7 @@ def merge_shards(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         out = []
         for p in parts:
             at = np.searchsorted(union["a"], p["a"])
-            while True:  # equal first halves of hashes
+            while True:  # equal first hashes
                 step = union["b"][np.minimum(at, len(union) - 1)] != p["b"]
                 if not step.any():
                     break
@@ -405,10 +411,38 @@ def cut(bodies: DataFrame, covered: DataFrame, with_text: bool = False) -> DataF
     return both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text)
 
 
+def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame] | None:
+    """(key, text), and key by (id, text's hash), where ids aren't long integers or rows share an id but not a text: keys
+    count up by id, then hash, so that an earlier id stays earlier. None where ids are good as keys."""
+    plain = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"))
+    short = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    if plain and not short.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count():
+        return None
+    ordered = materialise(each.distinct().repartitionByRange("id", "sha").withColumn("part", F.spark_partition_id()))
+    before = ordered.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("id", "sha"))
+    keys = materialise(ordered.withColumn("w", within).join(before, "part").select("id", "sha", (F.col("w") + F.col("before")).cast("long").alias("key")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"))
+    return rows.join(keys, ["id", "sha"], "left").select("key", "text"), keys
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with_text also gives the
     bytes that remain."""
-    shards = 4 * shuffle_partitions(docs.sparkSession)
+    other = keyed(docs, id_col, text)
+    if other is not None:
+        rows, keys = other
+        kind = docs.schema[id_col].dataType.simpleString()
+        out = dedup_keyed(materialise(rows), "key", "text", with_text)
+        return out.join(keys, "key", "left").select(F.col("id").cast(kind).alias(id_col), *[c for c in out.columns if c != "key"])
+    return dedup_keyed(docs, id_col, text, with_text)
+
+
+def dedup_keyed(docs: DataFrame, id_col: str, text: str, with_text: bool = False) -> DataFrame:
+    """`dedup` where rows of one id have one text."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(4 * shuffle_partitions(docs.sparkSession), size // SHARD_BYTES)
     counts = sketch(docs, text)
     scanned = scan(docs, id_col, text, counts, shards)
     first = materialise(settle(scanned, counts))
