@@ -2,7 +2,9 @@
 
 Two n-gram models, of the target documents and of the whole corpus, share one vocabulary of
 hashed words and one of hashed word pairs. Both are interpolated bigram models with the same
-smoothing: p(w | c) = (n(c, w) + M * p(w)) / (n(c) + M), p(w) = (n(w) + 1/2) / (N + V / 2).
+smoothing: p(w | c) = (n(c, w) + M * p(w)) / (n(c) + M), p(w) = (n(w) + 1/2) / (N + V / 2). The models are matched in
+size: the background's counts, of all documents, are scaled to the target's number of words, so that the
+smoothing weighs alike in both.
 A document's score is the mean over its words of the target's loss less the background's:
 below 0 where the target model expects the text better.
 
@@ -14,8 +16,9 @@ no key goes back. The numbers of chunks and pieces grow with the input; nothing
 the number of words.
 
 Edge cases: null and empty texts have no words and score null; without any target document
-the target model is uniform; a label on several rows counts once; repeated rows count and are
-scored each on its own.
+the target model is uniform and the background isn't scaled; a label on several rows counts once; repeated rows count and are
+scored each on its own. Texts are read whole, a long one as a slice of its own; other columns aren't read, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -181,9 +184,9 @@ def losses(parts: DataFrame, totals: DataFrame, sums: tuple[int, int, int], kind
             raise RuntimeError(f"chunk has {len(words)} words and {len(pairs)} pairs, counts of {counts[0].shape[1]} and {counts[1].shape[1]}: the documents changed between reads")
         edges = np.concatenate([[0], np.cumsum(sizes)])
         none, each, cols = sizes == 0, np.maximum(sizes, 1), []
-        for m, n in enumerate((n_target, n_all)):
-            p = (counts[0][m][word] + 0.5) / (n + vocabulary / 2)
-            total = np.concatenate([[0.0], np.cumsum(-np.log((counts[1][m][pair] + MASS * p) / (counts[0][2 + m][before] + MASS)))])
+        for m, (n, scale) in enumerate(((n_target, 1.0), (n_all, n_target / n_all if n_target else 1.0))):
+            p = (scale * counts[0][m][word] + 0.5) / (scale * n + vocabulary / 2)
+            total = np.concatenate([[0.0], np.cumsum(-np.log((scale * counts[1][m][pair] + MASS * p) / (scale * counts[0][2 + m][before] + MASS)))])
             cols.append((total[edges[1:]] - total[edges[:-1]]) / each)
         cols.append(cols[0] - cols[1])
         return pa.Table.from_arrays([docs["id"].combine_chunks(), pa.array(sizes.astype(np.int64)), *(pa.array(x, mask=none) for x in cols)], names=["id", "n_words", "target_loss", "background_loss", "score"])
