@@ -146,35 +146,59 @@ def infer_dribbles(touches: DataFrame, keys: list[str], min_m: float = 3.0) -> D
     return numbered(out, keys, "drb", "attacker_track_id", name="dribble_id")
 
 
-def player_summary(identities: DataFrame, touches: DataFrame, passes: DataFrame, duels: DataFrame, defensive: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per player: pass, touch, duel and defensive counts, distance and activity index."""
+#: Counts that add up over a team's players, and shares of a first in a second that are taken anew.
+SUMS = (
+    "pass_attempts", "passes_completed", "long_pass_attempts", "long_passes_completed", "zone_1_to_2_passes", "zone_2_to_3_passes", "dribble_attempts", "dribbles_completed",
+    "duels", "duels_won", "aerial_duels", "aerial_duels_won", "tackles_won", "interceptions", "clearances", "turnovers", "penalty_area_touches",
+)
+SHARES = (("passes_completed", "pass_attempts", "pass_completion_pct"), ("long_passes_completed", "long_pass_attempts", "long_pass_completion_pct"), ("dribbles_completed", "dribble_attempts", "dribble_success_pct"), ("duels_won", "duels", "duel_win_pct"))
+
+
+def metric_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance, top speed and sprint rows of each track from rows of cumulative distance, smoothed speed and sprint state; tracks without a valid row are left out."""
+    ok = rows.where("valid")
+    return ok.groupBy(*keys, "track_id").agg(F.max("cumulative_distance_m").alias("distance_m"), F.max("smoothed_speed_kmh").alias("max_speed_kmh"), F.count(F.when(F.col("sprint_state") == "sprint", 1)).alias("sprint_count"), F.avg(F.col("valid").cast("double")).alias("metric_quality"))
+
+
+def player_summary(identities: DataFrame, touches: DataFrame, passes: DataFrame, dribbles: DataFrame, duels: DataFrame, defensive: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per identity (track_id, team_id, role, visible_seconds, identity_quality, unresolved): its confirmed
+    passes, dribbles, duels and defensive actions, its touches, its metrics (see metric_totals) and activity."""
     me = [*keys, "track_id"]
     n = lambda cond: F.count(F.when(F.col(cond) if isinstance(cond, str) else cond, 1))
     done = F.col("successful")
-    p = passes.withColumnRenamed("passer_track_id", "track_id").groupBy(*me).agg(
-        F.count("*").alias("passes_attempted"), n(done).alias("passes_completed"), n("long_pass").alias("long_passes"), n(F.col("long_pass") & done).alias("long_passes_completed"), n("progressive_pass").alias("progressive_passes"),
-        n((F.col("start_zone") == "zone_1") & (F.col("end_zone") == "zone_2")).alias("passes_zone_1_to_2"), n((F.col("start_zone") == "zone_2") & (F.col("end_zone") == "zone_3")).alias("passes_zone_2_to_3"),
+    p = confirmed_only(passes).withColumnRenamed("passer_track_id", "track_id").groupBy(*me).agg(
+        F.count("*").alias("pass_attempts"), n(done).alias("passes_completed"), n("long_pass").alias("long_pass_attempts"), n(F.col("long_pass") & done).alias("long_passes_completed"),
+        n((F.col("start_zone") == "zone_1") & (F.col("end_zone") == "zone_2") & done).alias("zone_1_to_2_passes"), n((F.col("start_zone") == "zone_2") & (F.col("end_zone") == "zone_3") & done).alias("zone_2_to_3_passes"),
     )
-    r = passes.where(done).withColumnRenamed("receiver_track_id", "track_id").groupBy(*me).agg(F.count("*").alias("passes_received"))
-    t = touches.groupBy(*me).agg(F.count("*").alias("touches"), n("controlled_touch").alias("controlled_touches"), n(in_opponent_penalty(F.col("pitch_x"), F.col("pitch_y"), F.col("team_id"))).alias("penalty_area_touches"))
-    d = duels.select(*keys, F.explode(F.array("player_a", "player_b")).alias("track_id")).groupBy(*me).agg(F.count("*").alias("duels"))
-    e = defensive.where("track_id is not null").groupBy(*me).agg(n(F.col("action_type") == "interception").alias("interceptions"), n(F.col("action_type") == "clearance").alias("clearances"), n(F.col("action_type") == "dispossession").alias("dispossessions"))
+    g = confirmed_only(dribbles).withColumnRenamed("attacker_track_id", "track_id").groupBy(*me).agg(F.count("*").alias("dribble_attempts"), n(done).alias("dribbles_completed"))
+    won, aerial = F.coalesce(F.col("winner_track_id") == F.col("track_id"), F.lit(False)), F.col("duel_type") == "aerial_duel"
+    d = confirmed_only(duels).select(*keys, "duel_type", "winner_track_id", F.explode(F.array("player_a", "player_b")).alias("track_id")).groupBy(*me).agg(
+        F.count("*").alias("duels"), n(won).alias("duels_won"), n(aerial).alias("aerial_duels"), n(aerial & won).alias("aerial_duels_won"))
+    kind = lambda k: n(F.col("action_type") == k)
+    e = confirmed_only(defensive).where("track_id is not null").groupBy(*me).agg(kind("tackle_won").alias("tackles_won"), kind("interception").alias("interceptions"), kind("clearance").alias("clearances"), kind("turnover").alias("turnovers"), kind("dispossession").alias("dispossessions"))
+    t = touches.join(identities.select(*me, F.col("team_id").alias("own_team")), me).groupBy(*me).agg(F.count("*").alias("touches"), n(F.col("controlled_touch") & in_opponent_penalty(F.col("pitch_x"), F.col("pitch_y"), F.col("own_team"))).alias("penalty_area_touches"))
     out = identities
-    for part in (p, r, t, d, e, metrics.select(*me, "total_distance_m", "max_speed_kmh", "sprint_count")):
+    for part in (p, g, d, e, t, metrics.select(*me, "distance_m", "max_speed_kmh", "sprint_count", "metric_quality")):
         out = out.join(part, me, "left")
-    counts = [c for part in (p, r, t, d, e) for c in part.columns if c not in me]
+    counts = [c for part in (p, g, d, e, t) for c in part.columns if c not in me]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     num = lambda c: F.col(c).cast("double")
-    active = activity_index(F.col("visible_seconds"), F.col("total_distance_m"), num("touches"), num("passes_attempted"), num("duels"), num("interceptions") + num("clearances"), num("penalty_area_touches"))
-    return out.withColumn("pass_accuracy_pct", percent(F.col("passes_completed"), F.col("passes_attempted"))).withColumn("activity_index", active)
+    active = activity_index(F.col("visible_seconds"), F.col("distance_m"), num("touches"), num("pass_attempts"), num("duels"), num("tackles_won") + num("interceptions") + num("clearances"), num("penalty_area_touches"))
+    out = out.withColumn("activity_index", active).withColumns({name: percent(F.col(x), F.col(y)) for x, y, name in SHARES})
+    flags = F.concat_ws(",", F.when(F.col("unresolved"), "unresolved_identity"), F.when(F.col("metric_quality") < 0.3, "low_metric_coverage"), F.when(F.col("activity_index").isNull(), "activity_insufficient_visibility"))
+    return out.withColumns({"distance_m": F.round("distance_m", 1), "max_speed_kmh": F.round("max_speed_kmh", 1), "quality_flags": flags, "jersey_number": F.lit(None).cast("int")}).drop("unresolved", "touches")
 
 
 def team_summary(players: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums over a team's players, with percentages taken anew."""
-    sums = ["passes_attempted", "passes_completed", "long_passes", "progressive_passes", "touches", "duels", "interceptions", "clearances"]
-    out = players.where("team_id is not null").groupBy(*keys, "team_id").agg(F.count("*").alias("players"), *[F.sum(c).alias(c) for c in sums], F.sum("total_distance_m").alias("total_distance_m"))
-    return out.withColumn("pass_accuracy_pct", percent(F.col("passes_completed"), F.col("passes_attempted")))
+    """Sums over a team's players (teams that are known), with percentages taken anew."""
+    known = known_team(F.col("team_id"))
+    out = players.where(known.isNotNull()).groupBy(*keys, "team_id").agg(
+        F.count(F.when(F.col("identity_quality") != "low", 1)).alias("validated_player_count"), F.round(F.coalesce(F.avg("metric_quality"), F.lit(0.0)), 2).alias("metric_coverage"),
+        F.round(F.coalesce(F.sum("distance_m"), F.lit(0.0)), 1).alias("total_distance_m"), F.coalesce(F.sum("sprint_count"), F.lit(0)).alias("sprint_count"), *[F.sum(c).alias(c) for c in SUMS],
+    )
+    return out.withColumns({name: percent(F.col(x), F.col(y)) for x, y, name in SHARES})
 
 
 def confirmed_only(df: DataFrame, status: Column | None = None) -> DataFrame:
+    """Rows of confirmed actions; all others may be shown but aren't counted."""
     return df.where((F.col("status") if status is None else status) == "confirmed")

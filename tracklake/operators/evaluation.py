@@ -84,25 +84,53 @@ def identity_gt_complete(truth: DataFrame, min_frames: int = 50, min_players: in
     return a.select(reason.isNull().alias("complete"), reason.alias("reason"))
 
 
-GATES = ("ball_gt_complete", "identity_gt_complete", "touch_gt_complete", "calibration_ok", "identity_ok", "ball_ok", "possession_ok")
-
-
-def publishability(facts: DataFrame) -> DataFrame:
-    """facts: one row per match with the GATES as booleans. What may be published, and why the rest may not."""
-    g = {k: F.coalesce(F.col(k), F.lit(False)) for k in GATES}
-    needs = {
-        "publish_positions": ("calibration_ok",), "publish_speed": ("calibration_ok", "identity_ok"), "publish_heatmaps": ("calibration_ok", "identity_ok"), "publish_ball": ("ball_ok", "ball_gt_complete"),
-        "publish_possession": ("ball_ok", "possession_ok", "ball_gt_complete"), "publish_touches": ("ball_ok", "identity_ok", "ball_gt_complete", "touch_gt_complete"), "publish_passes": ("ball_ok", "identity_ok", "ball_gt_complete", "touch_gt_complete"),
-        "publish_identity": ("identity_ok", "identity_gt_complete"), "publish_summary": GATES,
+#: Least (or, where named so, greatest) values from which figures may be published.
+THRESHOLDS = {
+    "min_precision": 0.7, "min_recall": 0.6, "min_trajectory_coverage": 0.5, "min_idf1": 0.5, "max_validated_per_team": 11, "min_touch_precision": 0.7, "min_frame_coverage": 0.5, "min_measured_coverage": 0.25,
+    "min_continuous_calibrated_seconds": 2.0, "max_reprojection_error": 8.0, "min_player_position_coverage": 0.4, "max_speed_spike_candidates": 0,
+}
+
+
+def _first(checks: list[tuple[Column, str]]) -> Column:
+    """The name of the first check that holds, or ok."""
+    out = F.when(checks[0][0], checks[0][1])
+    for bad, why in checks[1:]:
+        out = out.when(bad, why)
+    return out.otherwise("ok")
+
+
+def publishability(facts: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """facts, one row per match, with nine flags and a reason for each area. What isn't known isn't published,
+    but for measured coverage, continuity, reprojection error, position coverage and spikes, which only count if known.
+
+    facts: ball_gt_complete, identity_gt_complete, touch_review_complete (booleans, null is false), ball_precision,
+    ball_recall, trajectory_coverage, idf1, max_validated, touch_precision, calibration_coverage, measured_coverage,
+    position_coverage, continuous_seconds, reprojection_error, spike_candidates.
+    """
+    t, c = THRESHOLDS | (thresholds or {}), F.col
+    yes = lambda name: F.coalesce(c(name), F.lit(False))
+    under = lambda name, key: F.coalesce(c(name) < t[key], F.lit(True))
+    below = lambda name, key: F.coalesce(c(name) < t[key], F.lit(False))
+    above = lambda name, key: F.coalesce(c(name) > t[key], F.lit(False))
+    no_ball, no_identity = (~yes("ball_gt_complete"), "GT_INCOMPLETE"), (~yes("identity_gt_complete"), "GT_INCOMPLETE")
+    detected = under("ball_precision", "min_precision") | under("ball_recall", "min_recall")
+    reasons = {
+        "ball_detection": _first([no_ball, (detected, "below_threshold")]),
+        "ball_tracking": _first([no_ball, (detected | under("trajectory_coverage", "min_trajectory_coverage"), "below_threshold")]),
+        "identity": _first([no_identity, (above("max_validated", "max_validated_per_team"), "over_11"), (under("idf1", "min_idf1"), "below_idf1")]),
+        "touch": _first([(~yes("touch_review_complete"), "REVIEW_INCOMPLETE"), (under("touch_precision", "min_touch_precision"), "below_threshold")]),
+        "calibration": _first([
+            (under("calibration_coverage", "min_frame_coverage"), "low_frame_coverage"), (below("measured_coverage", "min_measured_coverage"), "low_measured_coverage"),
+            (below("continuous_seconds", "min_continuous_calibrated_seconds"), "short_continuous_calibration"), (above("reprojection_error", "max_reprojection_error"), "high_reprojection_error"),
+            (below("position_coverage", "min_player_position_coverage"), "low_player_position_coverage"),
+        ]),
     }
-    out = facts
-    for flag, names in needs.items():
-        ok = F.lit(True)
-        for n in names:
-            ok = ok & g[n]
-        why = F.array_join(F.filter(F.array(*[F.when(~g[n], F.lit(n)) for n in names]), lambda x: x.isNotNull()), ",")
-        out = out.withColumn(flag, ok).withColumn(f"{flag}_missing", why)
-    return out
+    out = facts.withColumns({f"{k}_reason": v for k, v in reasons.items()}).withColumns({f"{k}_publishable": c(f"{k}_reason") == "ok" for k in reasons})
+    physical = _first([(~c("calibration_publishable"), "calibration_not_publishable"), (above("spike_candidates", "max_speed_spike_candidates"), "speed_spike_audit_failed"), (below("position_coverage", "min_player_position_coverage"), "low_player_position_coverage")])
+    every = c("ball_detection_publishable") & c("identity_publishable") & c("calibration_publishable")
+    out = out.withColumns({"physical_metrics_reason": physical, "tactical_metrics_publishable": c("calibration_publishable"), "action_stats_publishable": c("identity_publishable"), "overall_reason": _first([no_ball, no_identity, (~every, "gates_failed")])})
+    out = out.withColumns({"physical_metrics_publishable": c("physical_metrics_reason") == "ok", "overall_publishable": c("overall_reason") == "ok"})
+    return out.withColumns({f"{k}_reason": _first([(~c(f"{k}_publishable"), "gated")]) for k in ("tactical_metrics", "action_stats")})
 
 
 def box_conflicts(boxes: DataFrame, keys: list[str], min_iou: float, same_class: bool) -> DataFrame:

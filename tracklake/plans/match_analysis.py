@@ -28,6 +28,15 @@ def defensive(t: Frames) -> DataFrame:
     return actions.turnovers(t["passes"], MATCH).unionByName(actions.infer_clearances(t["touches"], MATCH), allowMissingColumns=True)
 
 
+def players(t: Frames) -> DataFrame:
+    seen = t["tracks"].groupBy(*TRACK, "team_id").agg((F.countDistinct("frame_id") / F.lit(25.0)).alias("visible_seconds"))
+    ids = seen.select("*", F.lit("player").alias("role"), F.lit("candidate").alias("identity_quality"), F.lit(True).alias("unresolved"))
+    metrics = t["player_metrics"].where("valid").select(*TRACK, F.col("total_distance_m").alias("distance_m"), "max_speed_kmh", "sprint_count", F.lit(1.0).alias("metric_quality"))
+    dribbles = t["dribbles"].withColumn("successful", F.lit(False))
+    duels = t["duels"].withColumn("winner_track_id", F.lit(None).cast("long"))
+    return actions.player_summary(ids, t["touches"], t["passes"], dribbles, duels, t["defensive"], metrics, MATCH)
+
+
 #: name: function of the tables so far; each result is a table for those after it.
 STAGES: dict[str, Callable[[Frames], DataFrame]] = {
     "player_metrics": lambda t: physical.player_metrics(t["tracks"], TRACK),
@@ -41,7 +50,7 @@ STAGES: dict[str, Callable[[Frames], DataFrame]] = {
     "duels": lambda t: actions.infer_duels(t["touches"], t["tracks"], MATCH),
     "defensive": defensive,
     "goal_crossings": lambda t: events.goal_line_crossings(t["ball"], MATCH),
-    "players": lambda t: actions.player_summary(t["tracks"].groupBy(*TRACK, "team_id").agg((F.countDistinct("frame_id") / F.lit(25.0)).alias("visible_seconds")), t["touches"], t["passes"], t["duels"], t["defensive"], t["player_metrics"], MATCH),
+    "players": players,
     "teams": lambda t: actions.team_summary(t["players"], MATCH),
 }
 
