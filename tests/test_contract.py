@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from tracklake.operators import possession
-from tracklake.plans import chunks
+from tracklake.plans import chunks, table_queries  # noqa: F401
 from tracklake.plans.queries import ORACLE_SQL, QUERIES
 from tracklake.sources import exports, segments, tables
 from tracklake.streaming import pipelines

@@ -131,7 +131,7 @@ def test_geometry(spark):
     box = lambda *v: tuple(F.lit(float(x)) for x in v)
     m = G.matrix(F.lit("[[2,0,1],[0,3,2],[0,0.01,1]]"))
     x, y = G.project(m, F.lit(10.0), F.lit(10.0))
-    r = one.select(G.iou(box(0, 0, 10, 10), box(5, 0, 15, 10)).alias("iou"), G.iou(box(0, 0, 0, 0), box(0, 0, 0, 0)).alias("none"), G.visible_fraction(box(-5, 0, 5, 10), 100, 100).alias("seen"), x.alias("x"), y.alias("y"), G.round_trip_error(m, F.lit(7.0), F.lit(3.0)).alias("e"), G.to_pitch(m, F.lit(90.0), F.lit(1.0), F.lit(True)).alias("out"), G.corner_jump(m, m).alias("jump"), G.foot_confidence(box(-5, 0, 5, 200), 100, 100).alias("foot")).first()
+    r = one.select(G.iou(box(0, 0, 10, 10), box(5, 0, 15, 10)).alias("iou"), G.iou(box(0, 0, 0, 0), box(0, 0, 0, 0)).alias("none"), G.visible_fraction(box(-5, 0, 5, 10), 100, 100).alias("seen"), x.alias("x"), y.alias("y"), G.round_trip_error(m, G.inverse(m), F.lit(7.0), F.lit(3.0)).alias("e"), G.to_pitch(m, F.lit(90.0), F.lit(1.0), F.lit(True)).alias("out"), G.corner_jump(m, m).alias("jump"), G.foot_confidence(box(-5, 0, 5, 200), 100, 100).alias("foot")).first()
     assert math.isclose(r.iou, 1 / 3) and r.none == 0 and r.seen == 0.5 and math.isclose(r.x, 21 / 1.1) and math.isclose(r.y, 32 / 1.1) and r.e < 1e-6 and r.out is None and r.jump == 0 and r.foot == 0
 
 

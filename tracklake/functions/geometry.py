@@ -114,6 +114,15 @@ def matrix(json: Column) -> Matrix:
     return [[cell[r][c] / scale for c in range(3)] for r in range(3)]
 
 
+def cells(m: Matrix) -> Column:
+    """The nine values as one array, so that a plan keeps them in a column instead of repeating their expressions."""
+    return F.array(*[v for row in m for v in row])
+
+
+def from_cells(column: Column) -> Matrix:
+    return [[F.get(column, F.lit(3 * r + c)) for c in range(3)] for r in range(3)]
+
+
 def determinant(m: Matrix) -> Column:
     return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
 
@@ -148,9 +157,9 @@ def to_pitch(m: Matrix, x: Column, y: Column, ok: Column, margin: float | None =
     return F.when(ok & inside & px.isNotNull() & py.isNotNull(), F.struct(px.alias("x"), py.alias("y")))
 
 
-def round_trip_error(m: Matrix, x: Column, y: Column) -> Column:
-    """Distance of a point from its image under the matrix and then its inverse."""
-    bx, by = project(inverse(m), *project(m, x, y))
+def round_trip_error(m: Matrix, back: Matrix, x: Column, y: Column) -> Column:
+    """Distance of a point from its image under the matrix and then `back`, its inverse."""
+    bx, by = project(back, *project(m, x, y))
     return distance(x, y, bx, by)
 
 

@@ -144,8 +144,23 @@ def box_conflicts(boxes: DataFrame, keys: list[str], min_iou: float, same_class:
 
 
 def hash_split(ids: DataFrame, id_col: str, share: float, seed: int) -> DataFrame:
-    """ids with `validation`: the given share, by order of a seeded hash; ranks come from range-sorted parts."""
-    n = ids.count()
+    """ids with `validation`: exactly the given share, by order of a seeded hash. Ids are counted by the first 16 bits of
+    the hash; bins below the one in which the share ends are taken whole, and only that bin is sorted."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    chosen = ids.withColumn("hash_key", key).orderBy("hash_key", id_col).limit(round(n * share)).select(id_col)
-    return ids.join(chosen.withColumn("v", F.lit(True)), id_col, "left").withColumn("validation", F.coalesce("v", F.lit(False))).drop("v")
+    d = ids.withColumn("hash_key", key).withColumn("bin", F.substring("hash_key", 1, 4))
+    bins = sorted((r["bin"], r["count"]) for r in d.groupBy("bin").count().collect())  # 65536 rows at most
+    wanted = round(sum(n for _, n in bins) * share)
+    last, before = "", 0
+    for name, n in bins:
+        if before + n > wanted:
+            last = name
+            break
+        before += n
+    else:
+        last = "g"  # after all bins
+    rank = F.row_number().over(Window.partitionBy("bin").orderBy("hash_key", id_col))
+    edge = d.where(F.col("bin") == last).withColumn("validation", rank <= wanted - before)
+    rest = d.where(F.col("bin") != last).withColumn("validation", F.col("bin") < last)
+    return rest.unionByName(edge).drop("hash_key", "bin")
+
+

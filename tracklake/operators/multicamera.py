@@ -84,16 +84,16 @@ def impossible_duplicates(observations: DataFrame, keys: list[str], tolerance: f
 
 
 def drift_fit(measurements: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted least squares of offset_seconds over measured_at_seconds, in two passes of sums."""
+    """Weighted least squares of offset_seconds over measured_at_seconds: one aggregation for the weighted means, joined back,
+    and one for sums about them, so that a camera's rows are never in one task."""
     m = measurements.where("measured_at_seconds is not null").withColumn("w", F.greatest("confidence", F.lit(1e-9)))
-    win = Window.partitionBy(*keys)
-    total = F.sum("w").over(win)
-    m = m.withColumn("anchor", F.sum(F.col("w") * F.col("measured_at_seconds")).over(win) / total).withColumn("base", F.sum(F.col("w") * F.col("offset_seconds")).over(win) / total)
+    mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+    means = m.groupBy(*keys).agg(mean("measured_at_seconds").alias("anchor"), mean("offset_seconds").alias("base"))
     t, o = F.col("measured_at_seconds") - F.col("anchor"), F.col("offset_seconds") - F.col("base")
-    den = F.sum(F.col("w") * t * t).over(win)
-    m = m.withColumn("rate", F.when(den > 1e-9, F.sum(F.col("w") * t * o).over(win) / den).otherwise(F.lit(0.0)))
-    rest = F.pow(F.col("offset_seconds") - F.col("base") - F.col("rate") * t, 2)
-    return m.groupBy(*keys).agg(F.first("base").alias("base_offset_seconds"), F.first("rate").alias("drift_rate"), F.first("anchor").alias("anchor_seconds"), F.sqrt(F.sum(F.col("w") * rest) / F.sum("w")).alias("residual_seconds"), F.count("*").alias("sample_count"))
+    s = m.join(means, keys).groupBy(*keys).agg(F.first("base").alias("base"), F.first("anchor").alias("anchor"), F.sum(F.col("w") * t * t).alias("tt"), F.sum(F.col("w") * t * o).alias("to"), F.sum(F.col("w") * o * o).alias("oo"), F.sum("w").alias("ww"), F.count("*").alias("sample_count"))
+    rate = F.when(F.col("tt") > 1e-9, F.col("to") / F.col("tt")).otherwise(F.lit(0.0))
+    rest = F.greatest(F.col("oo") - 2 * F.col("rate") * F.col("to") + F.col("rate") * F.col("rate") * F.col("tt"), F.lit(0.0))
+    return s.withColumn("rate", rate).select(*keys, F.col("base").alias("base_offset_seconds"), F.col("rate").alias("drift_rate"), F.col("anchor").alias("anchor_seconds"), F.sqrt(rest / F.col("ww")).alias("residual_seconds"), "sample_count")
 
 
 def best_offsets(estimates: DataFrame, reference: str, min_confidence: float = 0.6) -> DataFrame:
