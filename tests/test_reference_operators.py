@@ -148,12 +148,31 @@ def test_vectors(spark):
     assert math.isclose(out[0], math.sqrt(0.5)) and out[1:] == [None, None]
 
 
+def _resolved(spark, rows):
+    """rows: track_id, seconds, start, end, x, team, role, embedding."""
+    at = lambda x: None if x is None else {"x_field": x, "y_field": 10.0}
+    data = [(1, k, s, a, b, at(x), at(x), team, role, e) for k, s, a, b, x, team, role, e in rows]
+    d = spark.createDataFrame(data, "match_id long, track_id long, visible_seconds double, start_ms double, end_ms double, first_xy struct<x_field:double,y_field:double>, last_xy struct<x_field:double,y_field:double>, team_id string, role string, embedding array<double>")
+    return {r.track_id: r for r in identity.resolve(d, ["match_id"]).collect()}
+
+
 def test_identity_resolution(spark):
-    e = [1.0] + [0.0] * 15
-    xy = {"x_field": 10.0, "y_field": 10.0}
-    rows = [(1, 1, 100, 0.0, 4000.0, xy, xy, "team_0", e), (1, 2, 60, 1000.0, 3000.0, xy, xy, "team_0", e), (1, 3, 50, 4300.0, 6000.0, xy, xy, "team_0", e), (1, 4, 40, 7000.0, 8000.0, xy, xy, "team_1", e)]
-    out = {r.track_id: r for r in identity.resolve(spark.createDataFrame(rows, "match_id long, track_id long, frame_count long, start_ms double, end_ms double, first_xy struct<x_field:double,y_field:double>, last_xy struct<x_field:double,y_field:double>, team_id string, embedding array<double>"), ["match_id"]).collect()}
-    assert out[1].global_id != out[2].global_id and out[3].reason == "merged" and out[4].global_id not in {out[1].global_id, out[2].global_id}
+    e, o = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    out = _resolved(spark, [(1, 4.0, 0.0, 4000.0, 10.0, "team_0", "outfield", e), (2, 2.4, 1000.0, 3000.0, 10.0, "team_0", "outfield", o), (3, 2.0, 4300.0, 6000.0, 10.0, "team_0", "outfield", e), (4, 1.6, 7000.0, 8000.0, 10.0, "team_1", "outfield", e)])
+    assert out[1].global_id != out[2].global_id and out[3].global_id == out[1].global_id and out[3].reason == "strong" and out[4].global_id not in {out[1].global_id, out[2].global_id}
+    # two seen at once with equal embeddings stay apart; a goalkeeper joins no outfield player
+    out = _resolved(spark, [(1, 4.0, 0.0, 4000.0, 10.0, "team_0", "outfield", e), (2, 3.0, 0.0, 4000.0, 60.0, "team_0", "outfield", e), (3, 2.0, 4300.0, 6000.0, 10.0, "team_0", "goalkeeper", e)])
+    assert len({r.global_id for r in out.values()}) == 3 and out[3].rejected == 2
+    # without an embedding, or without a team, by place
+    out = _resolved(spark, [(1, 4.0, 0.0, 4000.0, 10.0, "team_0", "outfield", e), (2, 2.0, 4300.0, 6000.0, 12.0, "team_0", "outfield", None), (3, 1.0, 6200.0, 7000.0, 90.0, "team_0", "outfield", None), (4, 0.9, 8000.0, 9000.0, 12.0, None, "outfield", e)])
+    assert out[2].reason == "short_gap_continuity" and out[3].decision == "new" and out[4].reason == "team_unknown"
+
+
+def test_hard_negatives_raise_thresholds():
+    rows = [{"unit": identity._unit([1.0, 0.1 * k]), "team_id": "a", "start_ms": 0.0, "end_ms": 1.0} for k in range(5)]
+    merge, strong = identity.thresholds(rows, identity.ResolveRules())
+    assert merge == 0.90 and strong > merge
+    assert identity.thresholds(rows[:1], identity.ResolveRules()) == (0.42, 0.55)
 
 
 def test_constrained_clusters(spark):

@@ -10,6 +10,7 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,18 +18,28 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows of a key that are Python objects at a time.
+FOLD_ROWS = 8192
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Runs fold over the rows of each key in order; gives the keys and what it yields."""
+    """Runs fold over the rows of each key in order; gives the keys and what it yields. A key's rows are sorted as an
+    Arrow table; only FOLD_ROWS at a time become Python objects, and results go back to Arrow as often."""
     fields = T.StructType.fromDDL(schema)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in order])
-        out = list(fold(iter(t.to_pylist())))
-        cols = [pa.array([r[k] for r in out], types[k]) for k in range(len(types))]
-        same = [pa.array([t[k][0].as_py()] * len(out), t.schema.field(k).type) for k in keys]
-        return pa.Table.from_arrays([*same, *cols], names=[*keys, *fields.names])
+        out = fold(r for b in t.to_batches(max_chunksize=FOLD_ROWS) for r in b.to_pylist())
+        parts: list[list[pa.Array]] = [[pa.array([], x)] for x in types]
+        n = 0
+        while rows := list(islice(out, FOLD_ROWS)):
+            n += len(rows)
+            for k, (part, x) in enumerate(zip(parts, types, strict=True)):
+                part.append(pa.array([r[k] for r in rows], x))
+        same = [pa.array([t[k][0].as_py()] * n, t.schema.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*same, *(pa.chunked_array(p) for p in parts)], names=[*keys, *fields.names])
 
     return df.groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 

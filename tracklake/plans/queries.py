@@ -563,7 +563,7 @@ def hard_negative_thresholds(t: Tables) -> DataFrame:
 
 @query()
 def identity_resolve(t: Tables) -> DataFrame:
-    f = _reid_tracks(t).select("team", "track_id", (F.col("track_id") % 40 + 12).alias("frame_count"), "start_ms", "end_ms", F.struct((F.col("track_id") % 100).cast("double").alias("x_field"), F.lit(30.0).alias("y_field")).alias("first_xy"), F.struct((F.col("track_id") % 100 + 1).cast("double").alias("x_field"), F.lit(31.0).alias("y_field")).alias("last_xy"), F.lit("team_0").alias("team_id"), "embedding")
+    f = _reid_tracks(t).select("team", "track_id", ((F.col("track_id") % 40 + 12) / 25.0).alias("visible_seconds"), F.when(F.col("track_id") % 50 == 7, "goalkeeper").otherwise("outfield").alias("role"), "start_ms", "end_ms", F.struct((F.col("track_id") % 100).cast("double").alias("x_field"), F.lit(30.0).alias("y_field")).alias("first_xy"), F.struct((F.col("track_id") % 100 + 1).cast("double").alias("x_field"), F.lit(31.0).alias("y_field")).alias("last_xy"), F.lit("team_0").alias("team_id"), "embedding")
     return identity.resolve(f, ["team"])
 
 

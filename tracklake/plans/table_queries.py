@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 from tracklake.functions import labels as L
-from tracklake.operators import canonical, evaluation, events, folds, greedy, identity, multicamera, physical, reviews, roles, summaries
+from tracklake.operators import canonical, evaluation, events, folds, greedy, identity, mot, multicamera, physical, reviews, roles, summaries
 from tracklake.plans import chunks
 from tracklake.plans.bridge import MATCH, TRACK, Tables
 from tracklake.plans.queries import FRAME, _SPEEDS, query
@@ -712,3 +712,27 @@ def heatmap_export(t: Tables) -> DataFrame:
 def reid_coverage(t: Tables) -> DataFrame:
     q = t.tracks.groupBy(*TRACK).agg(F.count("*").alias("observations"), F.avg((F.col("confidence") < 0.5).cast("double")).alias("truncation")).withColumn("usable_for_metrics", F.col("track_id") % 3 > 0)
     return summaries.reid_tracks(q, True, 12, 0.505).select(*TRACK)
+
+
+def _tracked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    x, y = F.col("x_field") * 10, F.col("y_field") * 10
+    truth = t.tracks.select(*FRAME, F.col("track_id").alias("truth_id"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 60).alias("y2"))
+    dx, dy = _E(40), _E(30)
+    name = F.when(F.expr("frame_id % 90 > 60"), F.expr("(track_id + 1) % 22")).otherwise(F.col("track_id"))
+    found = t.tracks.where("event_type <> 'error'").select(*FRAME, name.alias("found_id"), (x + dx).alias("x1"), (y + dy).alias("y1"), (x + 60 + dx).alias("x2"), (y + 60 + dy).alias("y2"))
+    return truth, found
+
+
+@query(floats="hota det_a ass_a loc_a")
+def hota(t: Tables) -> DataFrame:
+    return mot.hota(*_tracked(t), MATCH)
+
+
+@query(floats="mota motp")
+def clear_mot(t: Tables) -> DataFrame:
+    return mot.clear(*_tracked(t), MATCH)
+
+
+@query(floats="idf1 idp idr")
+def identity_scores(t: Tables) -> DataFrame:
+    return mot.identity_scores(*_tracked(t), MATCH)
