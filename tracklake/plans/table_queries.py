@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 from tracklake.functions import labels as L
-from tracklake.operators import canonical, evaluation, events, folds, greedy, identity, mot, multicamera, physical, reviews, roles, summaries
+from tracklake.operators import canonical, evaluation, events, folds, greedy, identity, interchange, mot, multicamera, physical, reviews, roles, summaries
 from tracklake.plans import chunks
 from tracklake.plans.bridge import MATCH, TRACK, Tables
 from tracklake.plans.queries import FRAME, _SPEEDS, query
@@ -736,3 +736,138 @@ def clear_mot(t: Tables) -> DataFrame:
 @query(floats="idf1 idp idr")
 def identity_scores(t: Tables) -> DataFrame:
     return mot.identity_scores(*_tracked(t), MATCH)
+
+
+# other tools' formats ----------------------------------------------------------------------------------------------
+
+
+def _gs_rows(t: Tables) -> DataFrame:
+    return t.tracks.select(*FRAME, F.col("frame_id").cast("string").alias("image_id"), "track_id", F.lit(1.0).alias("category_id"), F.lit("object").alias("supercategory"), "confidence", F.col("x_field").alias("bbox_x"), F.when(_E(5) > 0, F.col("y_field")).otherwise(F.lit(float("nan"))).alias("bbox_y"), F.when(_E(3) > 0, F.lit("player")).alias("role"), F.col("team_id").alias("team"))
+
+
+@query("""SELECT match_id, frame_id, CAST(frame_id AS VARCHAR) AS image_id, track_id, 1.0 AS category_id, confidence, x_field AS bbox_x, CASE WHEN event_id % 5 > 0 THEN y_field END AS bbox_y, CASE WHEN event_id % 3 > 0 THEN 'player' END AS role, team_id AS team FROM tr""", "category_id confidence bbox_x bbox_y")
+def gs_round_trip(t: Tables) -> DataFrame:
+    documents = interchange.gs_json(_gs_rows(t), FRAME, ["track_id"])
+    return interchange.gs_predictions(documents, "document", FRAME).select(*FRAME, "image_id", "track_id", "category_id", "confidence", "bbox_x", "bbox_y", "role", "team")
+
+
+@query("""SELECT conv_id, turn, 1 + conv_id % 2 AS half, 'commentary' AS event_type, CAST(round(turn * 1.5 * 1000) AS BIGINT) AS timestamp_ms, CAST(round((turn * 1.5 + conv_id % 3 - 0.5) * 1000) AS BIGINT) AS end_timestamp_ms, CAST(round((turn * 1.5 + conv_id % 3 - 0.5) * 1000) AS BIGINT) - CAST(round(turn * 1.5 * 1000) AS BIGINT) AS duration_ms, length(trim(text, ' ')) AS n, 'sn_echoes/' || role AS source_method, conv_id % 3 >= 1 AS valid FROM conversations""")
+def commentary_events(t: Tables) -> DataFrame:
+    s = t.raw("conversations").select("conv_id", "turn", (1 + F.col("conv_id") % 2).alias("half"), (F.col("turn") * 1.5).alias("start_s"), (F.col("turn") * 1.5 + F.col("conv_id") % 3 - 0.5).alias("end_s"), "text", "role")
+    return interchange.commentary_events(s.select("conv_id", "turn", "half", "start_s", "end_s", "text", "role"), ["conv_id", "turn"], F.col("role")).withColumn("n", F.length("text").cast("long")).drop("text")
+
+
+@query("""SELECT event_id, 'goal' AS event_type, timestamp_ms / 1000 AS timestamp, confidence, CASE WHEN event_id % 2 = 0 THEN 'm' ELSE 'unnamed' END AS source_model, CASE WHEN event_id % 3 = 0 THEN 4 ELSE frame_id END AS window_start, CASE WHEN event_id % 3 = 0 THEN 9 ELSE frame_id END AS window_end, frame_id FROM tr""", "timestamp confidence")
+def spotting_decode(t: Tables) -> DataFrame:
+    c = F.struct(F.lit("goal").alias("event_type"), (F.col("timestamp_ms") / 1000).alias("timestamp"), "confidence", F.when(_E(2) == 0, "m").alias("source_model"), F.when(_E(3) == 0, F.array(F.lit(4), F.lit(9))).alias("temporal_window"), "frame_id")
+    return interchange.spotting_candidates(t.tracks.select("event_id", F.to_json(F.struct(F.array(c).alias("candidates"))).alias("j")), "j", ["event_id"])
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_id % 4 * 10.0 WHEN event_id % 3 > 0 THEN event_id % 3 * 8.0 ELSE 25.0 END AS fps, CASE WHEN event_id % 5 > 0 THEN event_id % 5 WHEN event_id % 2 = 0 THEN 7 ELSE 0 END AS frame_count, CASE event_id % 3 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 0.0 ELSE 25.0 END AS rate,
+  CASE event_id % 4 WHEN 0 THEN 'percent' WHEN 1 THEN 'decimal' WHEN 2 THEN 'whole' ELSE 'text' END AS format FROM tr
+""", "fps rate")
+def video_facts(t: Tables) -> DataFrame:
+    m = t.tracks.select("event_id", (_E(4) * 10.0).alias("working_fps"), (_E(3) * 8.0).alias("reported_fps"), _E(5).alias("working_frames"), F.when(_E(2) == 0, F.lit(7)).alias("reported_frames"))
+    return m.select("event_id", *interchange.video_facts(), interchange.frame_rate(_pick(["30000/1001", "0/0", "25/1"], _E(3))).alias("rate"), interchange.column_format(_pick(["pass_pct", "distance_m", "track_id", "role_name"], _E(4))).alias("format"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'tactical' WHEN 'view' THEN 'replay' ELSE 'wide' END AS shot_type, CASE WHEN event_id % 7 > 0 THEN x_field END AS x_field, CASE WHEN event_id % 5 > 0 THEN confidence ELSE 0.0 END AS confidence FROM tr""", "x_field confidence")
+def player_samples(t: Tables) -> DataFrame:
+    shot = F.when(F.col("event_type") == "click", "Tactical_wide").when(F.col("event_type") == "view", "replay").when(F.col("event_type") == "error", "main")
+    m = t.tracks.select("event_id", shot.alias("shot_type"), F.when(_E(7) > 0, F.col("x_field")).otherwise(F.lit(float("nan"))).alias("x_field"), "y_field", F.when(_E(5) > 0, F.col("confidence")).alias("confidence"))
+    return interchange.player_samples(m).select("event_id", "shot_type", "x_field", "confidence")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT match_id, frame_id, 1 + frame_id % 3 AS k FROM tr), p AS (SELECT match_id, frame_id, track_id, x_field * 10 AS px, y_field * 10 AS py, x_field + CASE WHEN frame_id % 4 = 0 THEN 3.0 ELSE 0.5 END AS x, y_field AS y FROM tr WHERE track_id < 4 + frame_id % 5 - 2),
+e AS (SELECT p.match_id, p.frame_id, count(*) AS n, bool_or(NOT (x BETWEEN -5 AND 110 AND y BETWEEN -5 AND 73)) AS off, avg(sqrt((px * k / 10 - x) * (px * k / 10 - x) + (py / 10 - y) * (py / 10 - y))) AS err FROM p JOIN c USING (match_id, frame_id) GROUP BY ALL),
+w AS (SELECT c.match_id, c.frame_id, err, CASE WHEN frame_id % 11 = 10 THEN 'not_invertible' WHEN n < 4 THEN 'too_few_control_points' WHEN off THEN 'control_points_outside_pitch' WHEN err > 2 THEN 'reprojection_error' END AS why FROM c LEFT JOIN e USING (match_id, frame_id))
+SELECT match_id, frame_id, why IS NULL AS valid, CASE WHEN why IS NULL THEN err END AS reprojection_error_m, why AS invalid_reason FROM w
+""", "reprojection_error_m")
+def camera_gates(t: Tables) -> DataFrame:
+    k = 1 + F.col("frame_id") % 3
+    singular = F.col("frame_id") % 11 == 10
+    cells = F.array(*[F.when(singular, F.lit(0.0)).otherwise(c) for c in (k * 0.1, *[F.lit(v) for v in (0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0)])], F.lit(1.0))
+    points = t.tracks.where("track_id < 4 + frame_id % 5 - 2").select(*FRAME, (F.col("x_field") * 10).alias("px"), (F.col("y_field") * 10).alias("py"), (F.col("x_field") + F.when(F.col("frame_id") % 4 == 0, 3.0).otherwise(0.5)).alias("x"), F.col("y_field").alias("y"))
+    return interchange.camera_gates(t.frames.select(*FRAME, cells.alias("cells")), points, FRAME)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'no_width' WHEN 1 THEN 'no_width;no_height' ELSE 'not_finite' END AS violations FROM tr WHERE event_id % 4 < 3""")
+def box_violations(t: Tables) -> DataFrame:
+    k = _E(4)
+    b = t.tracks.select("event_id", F.lit(5.0).alias("bbox_x1"), F.lit(5.0).alias("bbox_y1"), F.when(k == 2, F.lit(None).cast("double")).when(k < 2, 5.0).otherwise(9.0).alias("bbox_x2"), F.when(k == 1, 4.0).otherwise(9.0).alias("bbox_y2"))
+    return interchange.box_violations(b, ["event_id"])
+
+
+@query("""SELECT unnest([5, 3, 9]) AS event_id, unnest([0, 1, 2]) AS place""")
+def selected_rows(t: Tables) -> DataFrame:
+    return interchange.selected_rows(t.tracks.select("event_id"), [5, 3, 9], "event_id").select(F.col("event_id").cast("int").alias("event_id"), "place")
+
+
+@query("""SELECT t.event_id, count(*) AS zones FROM tr t JOIN (VALUES (0, 35, 0, 68), (35, 70, 0, 68), (70, 105, 0, 68), (0, 16.5, 13.84, 54.16), (88.5, 105, 13.84, 54.16), (0, 105, 0, 68 / 3.0), (0, 105, 68 / 3.0, 136 / 3.0), (0, 105, 136 / 3.0, 68)) z(x1, x2, y1, y2) ON t.x_field > z.x1 AND t.x_field <= z.x2 AND t.y_field > z.y1 AND t.y_field <= z.y2 GROUP BY ALL""")
+def zone_membership(t: Tables) -> DataFrame:
+    z = interchange.zone_geometry(t.spark)  # eight rows
+    return t.tracks.join(F.broadcast(z), (F.col("x_field") > F.col("x1")) & (F.col("x_field") <= F.col("x2")) & (F.col("y_field") > F.col("y1")) & (F.col("y_field") <= F.col("y2"))).groupBy("event_id").agg(F.count("*").alias("zones"))
+
+
+@query("""SELECT match_id, frame_id, track_id, (2 * x_field * 10 + 20 + track_id) / 2 AS foot_x_pixel, y_field * 10 + 46 AS foot_y_pixel, x_field * 10 AS bbox_x1 FROM tr""", "foot_x_pixel foot_y_pixel bbox_x1")
+def ankle_foot_points(t: Tables) -> DataFrame:
+    rows = interchange.with_ankles(t.boxes.withColumns({"foot_x_pixel": F.lit(0.0), "foot_y_pixel": F.lit(0.0)}))
+    names = rows.select("match_id", F.col("frame_id").alias("frame_idx"), F.col("track_id").alias("id"), "foot_x_pixel", "foot_y_pixel", F.col("bbox_x1").alias("left"))
+    o = interchange.overlay_table(names.drop("match_id", "foot_x_pixel", "foot_y_pixel"))
+    return o.join(rows.select(*FRAME, "track_id", "foot_x_pixel", "foot_y_pixel"), ["frame_id", "track_id"]).select(*FRAME, "track_id", "foot_x_pixel", "foot_y_pixel", "bbox_x1")
+
+
+@query("""SELECT match_id, track_id, track_id % 3 = 0 AS same FROM (SELECT DISTINCT match_id, track_id FROM tr)""")
+def proposals_are_truth(t: Tables) -> DataFrame:
+    boxes = lambda d: t.tracks.select(*TRACK, "frame_id", (F.col("x_field") + d).alias("x1"), F.col("y_field").alias("y1"), (F.col("x_field") + 4).alias("x2"), (F.col("y_field") + 9).alias("y2"))
+    return interchange.same_boxes(boxes(F.when(F.col("track_id") % 3 == 0, 0.0).otherwise(1.0)), boxes(F.lit(0.0)), TRACK)
+
+
+@query("""
+WITH f AS (SELECT match_id, frame_id, x_field AS x, y_field AS y, confidence FROM tr WHERE event_type = 'error'), g AS (SELECT match_id, frame_id, x_field AS x, y_field AS y, confidence FROM tr WHERE event_type = 'signup' AND track_id < 9),
+a AS (SELECT *, row_number() OVER (PARTITION BY match_id, frame_id ORDER BY confidence DESC, x DESC, y DESC) AS rn FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY match_id, frame_id ORDER BY confidence DESC, x DESC, y DESC) AS rn FROM g)
+SELECT t.match_id, t.frame_id, coalesce(a.x, b.x) AS x, coalesce(a.y, b.y) AS y, coalesce(a.confidence, b.confidence, 0) AS confidence, CASE WHEN a.x IS NOT NULL THEN 'detected' WHEN b.x IS NOT NULL THEN 'tracked' ELSE 'missing' END AS provenance
+FROM (SELECT * FROM tr WHERE track_id = 0) t LEFT JOIN a ON a.match_id = t.match_id AND a.frame_id = t.frame_id AND a.rn = 1 LEFT JOIN b ON b.match_id = t.match_id AND b.frame_id = t.frame_id AND b.rn = 1
+""", "x y confidence")
+def ball_provenance(t: Tables) -> DataFrame:
+    at = lambda where: t.tracks.where(where).select(*FRAME, F.col("x_field").alias("x"), F.col("y_field").alias("y"), "confidence")
+    return interchange.ball_provenance(at("event_type = 'error'"), at("event_type = 'signup' and track_id < 9"), t.frames, FRAME)
+
+
+def _recovered(t: Tables) -> DataFrame:
+    state = F.when(~F.col("visible"), "unknown").when(F.col("interpolated"), "airborne").otherwise("detected")
+    return interchange.recover_ball(t.ball.select(*FRAME, "timestamp_ms", F.col("ball_x_pixel").alias("x"), F.col("ball_y_pixel").alias("y"), state.alias("state"), F.col("ball_confidence").alias("confidence")), MATCH)
+
+
+@query(floats="x y confidence")
+def ball_recovery(t: Tables) -> DataFrame:
+    return _recovered(t)
+
+
+@query(floats="raw_detection_coverage tracked_coverage interpolated_coverage longest_missing_interval_ms")
+def ball_coverage(t: Tables) -> DataFrame:
+    return interchange.ball_coverage(_recovered(t), MATCH)
+
+
+@query()
+def team_centres(t: Tables) -> DataFrame:
+    d = t.tracks.groupBy(*TRACK).agg((F.avg("confidence") + F.when(F.col("track_id") < 11, 0.4).otherwise(0.0)).alias("white"), F.avg("team_confidence").alias("colour"), F.lit(0.1).alias("dark_share"))
+    return interchange.two_centres(d, MATCH, ["white", "colour"])
+
+
+@query("""
+WITH p AS (SELECT match_id, track_id, event_id % 180 AS h, event_id * 7 % 256 AS s, event_id * 11 % 256 AS v FROM tr), f AS (SELECT *, CASE WHEN v < 60 THEN 'black' WHEN s < 45 AND v >= 170 THEN 'white' WHEN s < 45 THEN 'grey' WHEN h < 8 OR h >= 170 THEN 'red' WHEN h < 22 THEN 'orange' WHEN h < 35 THEN 'yellow' WHEN h < 80 THEN 'green' WHEN h < 100 THEN 'cyan' WHEN h < 130 THEN 'blue' WHEN h < 150 THEN 'purple' ELSE 'pink' END AS family FROM p)
+SELECT *, n / sum(n) OVER (PARTITION BY match_id, track_id) AS share FROM (SELECT match_id, track_id, family, count(*) AS n FROM f GROUP BY ALL)
+""", "share")
+def kit_fractions(t: Tables) -> DataFrame:
+    return interchange.kit_fractions(t.tracks.select(*TRACK, _E(180).alias("h"), F.expr("event_id * 7 % 256").alias("s"), F.expr("event_id * 11 % 256").alias("v")), TRACK)
+
+
+@query("""
+SELECT f.match_id, f.frame_id, count(t.track_id) AS n, coalesce(string_agg(CAST(t.track_id AS VARCHAR), ',' ORDER BY t.track_id), '') AS players, any_value(b.pitch_x) AS pitch_x, coalesce(any_value(b.visible), false) AS visible FROM (SELECT * FROM tr WHERE track_id = 0) f LEFT JOIN tr t ON t.match_id = f.match_id AND t.frame_id = f.frame_id AND t.event_type = 'error' LEFT JOIN ball b ON b.match_id = f.match_id AND b.frame_id = f.frame_id AND f.frame_id % 3 > 0 GROUP BY f.match_id, f.frame_id
+""", "pitch_x")
+def frame_grid(t: Tables) -> DataFrame:
+    g = interchange.frame_grid(t.frames, t.tracks.where("event_type = 'error'"), t.ball.where("frame_id % 3 > 0"), FRAME)
+    return g.select(*FRAME, F.size("players").cast("long").alias("n"), F.array_join(F.transform("players", lambda p: p["track_id"].cast("string")), ",").alias("players"), "pitch_x", "visible")
