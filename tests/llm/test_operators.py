@@ -370,6 +370,15 @@ def test_classifier_held_out_accuracy(spark, empty):
     assert set(classifier.score(docs, classifier.train(docs, known.limit(0), "quality")).toPandas()["score"]) == {0.5}
 
 
+def test_training_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(40)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    whole = classifier.train(docs, known, "quality")
+    monkeypatch.setattr(classifier, "TRAIN_BYTES", 500 * 12)
+    some = classifier.train(docs, known, "quality")
+    assert not np.array_equal(whole, some) and np.array_equal(some, classifier.train(docs, known, "quality", max_rows=12))
+
+
 def test_ftrl_against_plain_loops():
     rng = np.random.RandomState(1)
     rows = [(float(rng.randint(0, 2)), np.sort(rng.choice(16, rng.randint(0, 6), replace=False)).astype(np.int64), None) for _ in range(60)]

@@ -4,12 +4,13 @@ Features of a document: words, pairs of words, shapes of words (runs of upper-ca
 lower-case, digit and other characters, each run once) in runs of one to three, and
 whether a word repeats the one before; all hashed into 2**BITS places. A feature's value is
 1 + log(count), scaled to unit length over the document. Follow-the-regularised-leader
-(proximal, with L1 and L2) runs over a bounded sample of the labelled rows in one task; the
+(proximal, with L1 and L2) runs over a bounded sample of the labelled rows (TRAIN_ROWS and TRAIN_BYTES) in one task; the
 weights, of fixed size, are sent to all tasks, and a score is a sparse dot product.
 
 Edge cases: null and empty texts have no features and score by the bias alone; several labels
 of one document count as their mean; without any label, every score is 0.5; repeated rows
-are scored each on its own.
+are scored each on its own; of labels of equal hash the smaller id comes first. Texts are read whole, a long one as a slice of
+its own; other columns aren't read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tracklake.llm import textops as X
 BITS = 18
 #: Bound of the training sample: the labelled rows with the smallest hashes of their ids.
 TRAIN_ROWS = 8000
+#: Bound of their texts' bytes, in the same order: a row that would exceed it is left out, and so are those after it.
+TRAIN_BYTES = 96 << 20
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.02
 
@@ -104,7 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg(label).alias("label_mean"))
     known = known.where(~held_out(id_col)).withColumn("order", F.xxhash64(id_col)).orderBy("order", id_col).limit(max_rows)
     # at most max_rows rows of three numbers: broadcast
-    chosen = docs.select(id_col, text).join(F.broadcast(known.withColumnRenamed(id_col, "label_id")), F.col(id_col) == F.col("label_id")).select("order", "label_mean", text)
+    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text).alias("row_text"))
+    chosen = rows.join(F.broadcast(known.withColumnRenamed(id_col, "label_id")), F.col("row_id") == F.col("label_id")).select("order", "label_mean", "row_text")
+    # one number for each of at most max_rows labels
+    sizes = sorted(tuple(r) for r in chosen.groupBy("order").agg(F.sum(F.coalesce(F.octet_length("row_text"), F.lit(0)))).collect())
+    total = 0
+    for order, size in sizes:
+        total += size
+        if total > TRAIN_BYTES:
+            chosen = chosen.where(F.col("order") < order)
+            break
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,9 +5,10 @@ A document is the set of its distinct word n-grams (64-bit hashes of lower-cased
 1. Documents with the same set are one node from the start (its key is a hash of the set). Each
    set has a parity signature of a quarter byte an n-gram; the n-grams in which two sets
    differ are at least as many as the places in which their signatures do.
-2. A sketch of fixed size counts words; n-grams are ordered by the product of the frequencies of
+2. Sketches of fixed size count n-grams and words. N-grams are ordered by how far the count of their place
+   is above the usual one (which only frequent n-grams raise) and by the product of the frequencies of
    their words, so rare ones come first. Any order is right, as long as all tasks use the same;
-   the counts only make it a good one. A second one, of n-grams, tells very frequent ones.
+   the counts only make it a good one.
 3. Of each set the first n - ceil(t * n) + 1 n-grams in that order are its prefix. Two sets
    that link share a prefix n-gram. Prefix entries are packed into buckets by n-gram; equal
    sets of one task are sent once. An n-gram that is very frequent is dealt
@@ -55,7 +56,7 @@ SKETCH_BITS, WORD_BITS = 17, 18
 GRAM_BITS = 48
 #: Entries of one n-gram that one bucket may get before they are dealt over several, and entries of a bucket.
 HOT, BUCKET = 20_000, 2_000_000
-FLUSH = 400_000
+FLUSH = 200_000
 #: Partners of a pivot.
 FAN_BITS = 6
 #: Members of a split group that one task compares with as many others.
@@ -89,8 +90,8 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> It
             yield grams[:0]
 
 
-def ranked_sets(buf: np.ndarray, offsets: np.ndarray, width: int, cost: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sets of a slice, and of each n-gram its rank: the summed costs of its words, then its hash."""
+def ranked_sets(buf: np.ndarray, offsets: np.ndarray, width: int, cost: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of a slice, and of each n-gram its rank: the summed costs of its words and its own, by their places, then its hash."""
     word, firsts = words(buf, offsets)
     grams = X.combine(word, width)
     each = cost[(word >> np.uint64(64 - (int(cost.size).bit_length() - 1))).astype(np.int64)].astype(np.uint64)
@@ -102,7 +103,8 @@ def ranked_sets(buf: np.ndarray, offsets: np.ndarray, width: int, cost: np.ndarr
             order = np.argsort(g)
             order = order[np.concatenate([[True], np.diff(g[order]) != 0])]
             at = a + order
-            yield g[order], ((total[at + width] - total[at]) << np.uint64(48)) | (g[order] & np.uint64((1 << 48) - 1))
+            extra = own[(g[order] >> np.uint64(64 - (int(own.size).bit_length() - 1))).astype(np.int64)].astype(np.uint64)
+            yield g[order], (np.minimum(total[at + width] - total[at] + extra, np.uint64(0xFFFF)) << np.uint64(48)) | (g[order] & np.uint64((1 << 48) - 1))
         elif b > a:
             g = X.combine(word[a:b], b - a)
             yield g, g & np.uint64((1 << 48) - 1)
@@ -124,7 +126,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 class Seen:
     """Whether a task has given a key before; forgets all now and then, as a key given twice does no harm."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self._keys: set[int] = set()
         self._most = most
 
@@ -241,10 +243,11 @@ def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.nda
     bits = int(counts.size).bit_length() - 1
     cost = np.minimum(np.log2(1 + single) * 64, 4095).astype(np.uint16)
     spread = shares(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((cost, spread))  # 2**WORD_BITS * 2 and 2**SKETCH_BITS * 8 bytes
+    own = (np.log2(1 + np.maximum(counts - 2 * max(1, int(np.median(counts))), 0)) * 256).astype(np.uint16)
+    sent = docs.sparkSession.sparkContext.broadcast((cost, own, spread))  # 2**WORD_BITS * 2 and 2**SKETCH_BITS * 10 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, spread = sent.value
+        cost, own, spread = sent.value
         seen = Seen()
         held: list[np.ndarray] = []
         size = 0
@@ -263,7 +266,7 @@ def entries(docs: DataFrame, text: str, width: int, percent: int, counts: np.nda
 
         for b in batches:
             for s in X.slices(b.column(0)):
-                for g, rank in ranked_sets(s.buf, s.offsets, width, cost):
+                for g, rank in ranked_sets(s.buf, s.offsets, width, cost, own):
                     n = len(g)
                     key = set_key(g)
                     if not n or not seen.new(key):

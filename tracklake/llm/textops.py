@@ -11,6 +11,7 @@ other executors give the same values.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,17 +90,32 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
     if not wide and not pa.types.is_string(column.type):
         column, wide = column.cast(pa.large_string()), True
     _, offs, data = column.buffers()
     at = np.frombuffer(offs, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    if column.null_count:
+        null = ~column.is_valid().to_numpy(zero_copy_only=False)
+        if (np.diff(at)[null] > 0).any():  # bytes under nulls are allowed, but not usual
+            return text_buffers(column.fill_null(""))
     return buf, at
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cuts a string column into slices of at most max_bytes, whole documents each."""
     if not len(column):
@@ -111,6 +127,8 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         end = min(n, max(end, row + 1))
         yield Slice(row, buf[at[row] : at[end]], at[row : end + 1] - at[row])
         row = end
+    if at[-1] - at[0] > 4 * SLICE_BYTES:
+        release()
 
 
 SPACE = np.zeros(256, dtype=bool)
