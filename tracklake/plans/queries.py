@@ -31,7 +31,7 @@ def query(sql: str | None = None, floats: str = "") -> Callable:
 
         QUERIES[f.__name__] = run
         if sql:
-            replace = " REPLACE (" + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in names) + ")" if names else ""
+            replace = " REPLACE (" + ", ".join(f"round(CAST({c} AS DOUBLE), 9) + 0.0 AS {c}" for c in names) + ")" if names else ""
             ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {SQL}, result AS ({sql}) SELECT *{replace} FROM result"
         return f
 

@@ -169,12 +169,12 @@ def weighted_pool(t: Tables) -> DataFrame:
 
 # canonical joins ---------------------------------------------------------------------------------------------------
 
-_IDS = "ids AS (SELECT match_id, frame_id, track_id, CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 9 = 1 THEN 'unknown' ELSE team_id END END AS team_id, team_confidence, CASE WHEN track_id % 11 = 0 THEN 'goalkeeper' ELSE 'player' END AS role FROM tr WHERE event_id % 10 <> 3)"
+_IDS = "ids AS (SELECT match_id, frame_id, track_id, CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 9 = 1 THEN 'unknown' ELSE team_id END END AS team_id, team_confidence, CASE WHEN track_id % 11 = 0 THEN 'goalkeeper' ELSE 'player' END AS role FROM tr WHERE event_type <> 'purchase')"
 
 
 def _ids(t: Tables) -> DataFrame:
     team = F.when(_E(4) > 0, F.when(_E(9) == 1, "unknown").otherwise(F.col("team_id")))
-    return t.tracks.where(_E(10) != 3).select(*FRAME, "track_id", team.alias("team_id"), "team_confidence", F.when(F.col("track_id") % 11 == 0, "goalkeeper").otherwise("player").alias("role"))
+    return t.tracks.where("event_type <> 'purchase'").select(*FRAME, "track_id", team.alias("team_id"), "team_confidence", F.when(F.col("track_id") % 11 == 0, "goalkeeper").otherwise("player").alias("role"))
 
 
 @query("""SELECT match_id, frame_id, track_id, CASE WHEN track_id % 5 = 4 THEN false ELSE track_id % 3 > 0 END AS quality_ok FROM tr WHERE event_type <> 'error'""")
@@ -190,8 +190,8 @@ def team_samples(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {_IDS}, c AS (SELECT match_id, frame_id, event_type <> 'error' AS ok, confidence AS conf, CASE WHEN event_type = 'error' AND frame_id % 2 = 0 THEN 'no lines' END AS why FROM tr WHERE track_id = 0 AND frame_id % 7 <> 6),
-s AS (SELECT match_id, frame_id, CASE WHEN frame_id % 3 = 2 THEN 'close_up' ELSE 'wide' END AS shot FROM tr WHERE track_id = 0 AND frame_id % 13 <> 5),
+WITH {_IDS}, c AS (SELECT match_id, frame_id, event_type <> 'error' AS ok, confidence AS conf, CASE WHEN event_type = 'error' AND frame_id % 2 = 0 THEN 'no lines' END AS why FROM tr WHERE track_id = 0 AND event_type <> 'purchase'),
+s AS (SELECT match_id, frame_id, CASE WHEN frame_id % 3 = 2 THEN 'close_up' ELSE 'wide' END AS shot FROM tr WHERE track_id = 0 AND confidence < 0.95),
 j AS (SELECT t.match_id, t.frame_id, t.timestamp_ms, t.track_id, ids.role, ids.team_id, t.x_field * 10 AS fx, t.y_field * 10 AS fy, coalesce(c.ok, false) AS ok, c.conf, c.why, coalesce(s.shot, 'unknown') AS shot FROM tr t LEFT JOIN c USING (match_id, frame_id) LEFT JOIN s USING (match_id, frame_id) LEFT JOIN ids USING (match_id, frame_id, track_id)),
 v AS (SELECT *, ok AND shot = 'wide' AND fx / 5 + 1 BETWEEN 0 AND 105 AND fy / 9 BETWEEN 0 AND 68 AS valid FROM j)
 SELECT match_id, frame_id, timestamp_ms, track_id, role, team_id, fx AS foot_x_pixel, fy AS foot_y_pixel, CASE WHEN valid THEN fx / 5 + 1 END AS x_field, CASE WHEN valid THEN fy / 9 END AS y_field, shot AS shot_type, valid, CASE WHEN valid THEN conf ELSE 0.0 END AS calibration_confidence,
@@ -200,8 +200,8 @@ SELECT match_id, frame_id, timestamp_ms, track_id, role, team_id, fx AS foot_x_p
 def game_state(t: Tables) -> DataFrame:
     tracks = t.tracks.select(*FRAME, "timestamp_ms", "track_id", (F.col("x_field") * 10).alias("foot_x_pixel"), (F.col("y_field") * 10).alias("foot_y_pixel"))
     bad = F.col("event_type") == "error"
-    c = t.frames.where("frame_id % 7 <> 6").select(*FRAME, (~bad).alias("valid"), "confidence", F.when(bad & (F.col("frame_id") % 2 == 0), "no lines").alias("reason"), F.lit(f"[[0.2,0,1],[0,{1 / 9!r},0],[0,0,1]]").alias("homography_json"))
-    shots = t.frames.where("frame_id % 13 <> 5").select(*FRAME, F.when(F.col("frame_id") % 3 == 2, "close_up").otherwise("wide").alias("shot_type"))
+    c = t.frames.where("event_type <> 'purchase'").select(*FRAME, (~bad).alias("valid"), "confidence", F.when(bad & (F.col("frame_id") % 2 == 0), "no lines").alias("reason"), F.lit(f"[[0.2,0,1],[0,{1 / 9!r},0],[0,0,1]]").alias("homography_json"))
+    shots = t.frames.where("confidence < 0.95").select(*FRAME, F.when(F.col("frame_id") % 3 == 2, "close_up").otherwise("wide").alias("shot_type"))
     return canonical.game_state(tracks, c, shots, _ids(t), FRAME)
 
 
@@ -230,9 +230,9 @@ def mapped_ids(t: Tables) -> DataFrame:
     return canonical.mapped(t.tracks.select(*FRAME, "track_id"), ids, MATCH)
 
 
-@query(f"""WITH {_IDS} SELECT t.match_id, t.frame_id, t.track_id, CASE WHEN t.event_id % 6 > 1 THEN 'player' ELSE ids.role END AS role, CASE WHEN t.event_id % 6 > 1 THEN t.team_id WHEN ids.team_id <> 'unknown' THEN ids.team_id END AS team_id FROM tr t LEFT JOIN ids USING (match_id, frame_id, track_id)""")
+@query(f"""WITH {_IDS} SELECT t.match_id, t.frame_id, t.track_id, CASE WHEN t.event_type = 'click' THEN 'player' ELSE ids.role END AS role, CASE WHEN t.event_type = 'click' THEN t.team_id WHEN ids.team_id <> 'unknown' THEN ids.team_id END AS team_id FROM tr t LEFT JOIN ids USING (match_id, frame_id, track_id)""")
 def preferred_rows(t: Tables) -> DataFrame:
-    game = t.tracks.where(_E(6) > 1).select(*FRAME, "track_id", F.lit("player").alias("role"), "team_id")
+    game = t.tracks.where("event_type = 'click'").select(*FRAME, "track_id", F.lit("player").alias("role"), "team_id")
     return canonical.preferred(game, _ids(t), t.tracks.select(*FRAME, "track_id"), [*FRAME, "track_id"])
 
 
@@ -270,11 +270,11 @@ def interpolation_runs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT match_id, frame_id, timestamp_ms + 333 AS ms, confidence FROM tr WHERE track_id = 3 AND event_type IN ('click', 'error'))
+WITH g AS (SELECT match_id, frame_id, timestamp_ms + 333 AS ms, confidence FROM tr WHERE event_type IN ('click', 'error'))
 SELECT f.match_id, f.frame_id AS signal_id, f.timestamp_ms, max(g.confidence) AS spotting_score FROM (SELECT * FROM tr WHERE track_id = 0) f LEFT JOIN g ON g.match_id = f.match_id AND abs(g.ms - f.timestamp_ms) <= 400 GROUP BY ALL
 """, "spotting_score timestamp_ms")
 def spotting_scores(t: Tables) -> DataFrame:
-    spotted = t.tracks.where("track_id = 3").select("match_id", F.when(F.col("event_type").isin("click", "error"), "Goal").otherwise("card").alias("event_type"), ((F.col("timestamp_ms") + 333) / 1000.0).alias("timestamp"), "confidence")
+    spotted = t.tracks.select("match_id", F.when(F.col("event_type").isin("click", "error"), "Goal").otherwise("card").alias("event_type"), ((F.col("timestamp_ms") + 333) / 1000.0).alias("timestamp"), "confidence")
     return canonical.spotted_score(t.frames.select("match_id", F.col("frame_id").alias("signal_id"), "timestamp_ms"), spotted, MATCH, 400.0)
 
 
@@ -367,7 +367,7 @@ def tracklet_records(t: Tables) -> DataFrame:
 
 # reviews -----------------------------------------------------------------------------------------------------------
 
-_SAMPLE = "sa AS (SELECT match_id, frame_id, row_number() OVER (PARTITION BY match_id ORDER BY frame_id * 7 % 50, frame_id) AS sample_order, frame_id % 3 > 0 AS reviewed FROM tr WHERE track_id = 0 AND frame_id % 5 = 0), gt AS (SELECT match_id, frame_id, track_id, event_type <> 'error' AS reviewed, CASE WHEN value < 80 THEN x_field END AS x1, CASE WHEN event_type <> 'view' OR match_id % 2 = 0 THEN 'yes' ELSE 'perhaps' END AS ball_visible FROM tr WHERE frame_id % 4 < 3)"
+_SAMPLE = "sa AS (SELECT match_id, frame_id, row_number() OVER (PARTITION BY match_id ORDER BY frame_id * 7 % 50, frame_id) AS sample_order, frame_id % 3 > 0 AS reviewed FROM tr WHERE track_id = 0 AND frame_id % 5 = 0), gt AS (SELECT match_id, frame_id, track_id, event_type <> 'error' AS reviewed, CASE WHEN value < 80 THEN x_field END AS x1, CASE WHEN event_type <> 'view' OR match_id % 2 = 0 THEN 'yes' ELSE 'perhaps' END AS ball_visible FROM tr WHERE value < 120)"
 
 
 def _sample(t: Tables) -> DataFrame:
@@ -376,7 +376,7 @@ def _sample(t: Tables) -> DataFrame:
 
 
 def _truth(t: Tables) -> DataFrame:
-    return t.tracks.where("frame_id % 4 < 3").select(*FRAME, "track_id", F.when(F.col("event_type") != "error", "1").otherwise("0").alias("reviewed"), F.when(F.col("value") < 80, F.col("x_field")).alias("x1"), F.when((F.col("event_type") != "view") | (F.col("match_id") % 2 == 0), "yes").otherwise("perhaps").alias("ball_visible"))
+    return t.tracks.where("value < 120").select(*FRAME, "track_id", F.when(F.col("event_type") != "error", "1").otherwise("0").alias("reviewed"), F.when(F.col("value") < 80, F.col("x_field")).alias("x1"), F.when((F.col("event_type") != "view") | (F.col("match_id") % 2 == 0), "yes").otherwise("perhaps").alias("ball_visible"))
 
 
 @query(f"""WITH {_SAMPLE} SELECT match_id, frame_id, track_id FROM gt WHERE reviewed AND x1 IS NOT NULL AND EXISTS (SELECT 1 FROM sa WHERE sa.match_id = gt.match_id AND sa.frame_id = gt.frame_id AND sa.reviewed)""")
@@ -445,9 +445,9 @@ def truth_from_proposals(t: Tables) -> DataFrame:
     return reviews.truth_rows(_proposals(t), FRAME)
 
 
-@query(f"""WITH {_PROPOSALS} SELECT match_id, frame_id, CASE WHEN bool_or((accepted AND NOT rejected) OR manual) THEN 'ok' WHEN bool_or(NOT manual) THEN 'need_accept' ELSE 'need_empty_confirm' END AS guard FROM pr WHERE proposal_id % 22 < 3 GROUP BY ALL""")
+@query(f"""WITH {_PROPOSALS} SELECT match_id, frame_id, proposal_id, CASE WHEN bool_or((accepted AND NOT rejected) OR manual) THEN 'ok' WHEN bool_or(NOT manual) THEN 'need_accept' ELSE 'need_empty_confirm' END AS guard FROM pr GROUP BY ALL""")
 def save_guards(t: Tables) -> DataFrame:
-    return reviews.save_guard(_proposals(t).where("proposal_id % 22 < 3"), FRAME)
+    return reviews.save_guard(_proposals(t), [*FRAME, "proposal_id"])
 
 
 @query("""
@@ -513,7 +513,7 @@ def calibration_audit(t: Tables) -> DataFrame:
 @query("""
 WITH f AS (SELECT match_id, frame_id, timestamp_ms, scene_cut, count(*) FILTER (calibration_valid AND team_confidence > 0.4) AS players FROM tr GROUP BY match_id, frame_id, timestamp_ms, scene_cut),
 s AS (SELECT *, unnest(range(CAST(greatest(floor(timestamp_ms / 500) - 3, 0) AS BIGINT), CAST(floor(timestamp_ms / 500) AS BIGINT) + 1)) AS slot FROM f), a AS (SELECT match_id, slot, avg(players) - 5 * sum(CASE WHEN scene_cut THEN 1 ELSE 0 END) + 5 AS score, count(*) AS frames FROM s GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(score, 9) DESC, slot) AS rn FROM a) SELECT match_id, slot * 500.0 AS start_ms, slot * 500.0 + 2000.0 AS end_ms, score, frames FROM b WHERE rn = 1
+b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY score DESC, slot) AS rn FROM a) SELECT match_id, slot * 500.0 AS start_ms, slot * 500.0 + 2000.0 AS end_ms, score, frames FROM b WHERE rn = 1
 """, "score start_ms end_ms")
 def best_window(t: Tables) -> DataFrame:
     f = t.tracks.groupBy(*FRAME, "timestamp_ms", "scene_cut").agg(F.count(F.when(F.col("calibration_valid") & (F.col("team_confidence") > 0.4), 1)).alias("players"))
@@ -521,13 +521,13 @@ def best_window(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT match_id, timestamp_ms, 0 AS new, NULL AS score FROM tr WHERE track_id = 1 AND event_type = 'error' UNION ALL SELECT match_id, timestamp_ms + 7, 1, confidence FROM tr WHERE track_id = 2 AND event_type = 'signup'),
+WITH e AS (SELECT match_id, timestamp_ms, 0 AS new, NULL AS score FROM tr WHERE event_type = 'purchase' AND confidence > 0.9 UNION ALL SELECT match_id, timestamp_ms + 7, 1, confidence FROM tr WHERE event_type = 'signup' AND confidence > 0.9),
 g AS (SELECT *, CASE WHEN timestamp_ms - lag(timestamp_ms) OVER w >= 60 OR lag(timestamp_ms) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM e WINDOW w AS (PARTITION BY match_id ORDER BY timestamp_ms, new)), i AS (SELECT *, sum(st) OVER (PARTITION BY match_id ORDER BY timestamp_ms, new) AS grp FROM g)
 SELECT match_id, min(timestamp_ms) AS timestamp_ms, max(score) AS score FROM i GROUP BY match_id, grp HAVING min(new) = 1
 """, "score timestamp_ms")
 def spotted_goals(t: Tables) -> DataFrame:
-    new = t.tracks.where("track_id = 2 and event_type = 'signup'").select("match_id", (F.col("timestamp_ms") + 7).alias("timestamp_ms"), F.col("confidence").alias("score"))
-    return summaries.spotted_goals(new, t.tracks.where("track_id = 1 and event_type = 'error'"), MATCH, 60.0)
+    new = t.tracks.where("event_type = 'signup' and confidence > 0.9").select("match_id", (F.col("timestamp_ms") + 7).alias("timestamp_ms"), F.col("confidence").alias("score"))
+    return summaries.spotted_goals(new, t.tracks.where("event_type = 'purchase' and confidence > 0.9"), MATCH, 60.0)
 
 
 @query("""
@@ -644,11 +644,10 @@ def reid_sample_selection(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT match_id, count(DISTINCT frame_id) >= 50 AND count(DISTINCT track_id) >= 8 AND bool_and(match_id % 2 = 0 OR event_type <> 'error') AS complete, CASE WHEN NOT bool_and(match_id % 2 = 0 OR event_type <> 'error') THEN 'not_reviewed' END AS reason FROM tr WHERE match_id = 0 GROUP BY match_id
+SELECT count(DISTINCT frame_id) >= 50 AND count(DISTINCT track_id) >= 8 AND bool_and(confidence >= 0) AS complete, CASE WHEN count(DISTINCT frame_id) < 50 THEN 'too_few_frames' WHEN count(DISTINCT track_id) < 8 THEN 'too_few_players' WHEN NOT bool_and(confidence >= 0) THEN 'not_reviewed' END AS reason FROM tr
 """)
 def identity_truth_complete(t: Tables) -> DataFrame:
-    g = t.tracks.where("match_id = 0").select("frame_id", F.col("track_id").alias("gt_player_id"), ((F.col("match_id") % 2 == 0) | (F.col("event_type") != "error")).alias("reviewed"))
-    return evaluation.identity_gt_complete(g).select(F.lit(0).cast("long").alias("match_id"), "complete", "reason")
+    return evaluation.identity_gt_complete(t.tracks.select("frame_id", F.col("track_id").alias("gt_player_id"), (F.col("confidence") >= 0).alias("reviewed")))
 
 
 @query("""
@@ -780,7 +779,7 @@ def player_samples(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT match_id, frame_id, 1 + frame_id % 3 AS k FROM tr), p AS (SELECT match_id, frame_id, track_id, x_field * 10 AS px, y_field * 10 AS py, x_field + CASE WHEN frame_id % 4 = 0 THEN 3.0 ELSE 0.5 END AS x, y_field AS y FROM tr WHERE track_id < 4 + frame_id % 5 - 2),
+WITH c AS (SELECT DISTINCT match_id, frame_id, 1 + frame_id % 3 AS k FROM tr), p AS (SELECT match_id, frame_id, track_id, x_field * 10 AS px, y_field * 10 AS py, x_field + CASE WHEN frame_id % 4 = 0 THEN 3.0 ELSE 0.5 END AS x, y_field AS y FROM tr WHERE value < 60),
 e AS (SELECT p.match_id, p.frame_id, count(*) AS n, bool_or(NOT (x BETWEEN -5 AND 110 AND y BETWEEN -5 AND 73)) AS off, avg(sqrt((px * k / 10 - x) * (px * k / 10 - x) + (py / 10 - y) * (py / 10 - y))) AS err FROM p JOIN c USING (match_id, frame_id) GROUP BY ALL),
 w AS (SELECT c.match_id, c.frame_id, err, CASE WHEN frame_id % 11 = 10 THEN 'not_invertible' WHEN n < 4 THEN 'too_few_control_points' WHEN off THEN 'control_points_outside_pitch' WHEN err > 2 THEN 'reprojection_error' END AS why FROM c LEFT JOIN e USING (match_id, frame_id))
 SELECT match_id, frame_id, why IS NULL AS valid, CASE WHEN why IS NULL THEN err END AS reprojection_error_m, why AS invalid_reason FROM w
@@ -789,7 +788,7 @@ def camera_gates(t: Tables) -> DataFrame:
     k = 1 + F.col("frame_id") % 3
     singular = F.col("frame_id") % 11 == 10
     cells = F.array(*[F.when(singular, F.lit(0.0)).otherwise(c) for c in (k * 0.1, *[F.lit(v) for v in (0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0)])], F.lit(1.0))
-    points = t.tracks.where("track_id < 4 + frame_id % 5 - 2").select(*FRAME, (F.col("x_field") * 10).alias("px"), (F.col("y_field") * 10).alias("py"), (F.col("x_field") + F.when(F.col("frame_id") % 4 == 0, 3.0).otherwise(0.5)).alias("x"), F.col("y_field").alias("y"))
+    points = t.tracks.where("value < 60").select(*FRAME, (F.col("x_field") * 10).alias("px"), (F.col("y_field") * 10).alias("py"), (F.col("x_field") + F.when(F.col("frame_id") % 4 == 0, 3.0).otherwise(0.5)).alias("x"), F.col("y_field").alias("y"))
     return interchange.camera_gates(t.frames.select(*FRAME, cells.alias("cells")), points, FRAME)
 
 
@@ -866,8 +865,8 @@ def kit_fractions(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT f.match_id, f.frame_id, count(t.track_id) AS n, coalesce(string_agg(CAST(t.track_id AS VARCHAR), ',' ORDER BY t.track_id), '') AS players, any_value(b.pitch_x) AS pitch_x, coalesce(any_value(b.visible), false) AS visible FROM (SELECT * FROM tr WHERE track_id = 0) f LEFT JOIN tr t ON t.match_id = f.match_id AND t.frame_id = f.frame_id AND t.event_type = 'error' LEFT JOIN ball b ON b.match_id = f.match_id AND b.frame_id = f.frame_id AND f.frame_id % 3 > 0 GROUP BY f.match_id, f.frame_id
+SELECT f.match_id, f.frame_id, count(t.track_id) AS n, coalesce(string_agg(CAST(t.track_id AS VARCHAR), ',' ORDER BY t.track_id), '') AS players, any_value(b.pitch_x) AS pitch_x, coalesce(any_value(b.visible), false) AS visible FROM (SELECT * FROM tr WHERE track_id = 0) f LEFT JOIN tr t ON t.match_id = f.match_id AND t.frame_id = f.frame_id AND t.event_type = 'error' LEFT JOIN ball b ON b.match_id = f.match_id AND b.frame_id = f.frame_id AND b.visible GROUP BY f.match_id, f.frame_id
 """, "pitch_x")
 def frame_grid(t: Tables) -> DataFrame:
-    g = interchange.frame_grid(t.frames, t.tracks.where("event_type = 'error'"), t.ball.where("frame_id % 3 > 0"), FRAME)
+    g = interchange.frame_grid(t.frames, t.tracks.where("event_type = 'error'"), t.ball.where("visible"), FRAME)
     return g.select(*FRAME, F.size("players").cast("long").alias("n"), F.array_join(F.transform("players", lambda p: p["track_id"].cast("string")), ",").alias("players"), "pitch_x", "visible")
