@@ -247,3 +247,28 @@ def test_calibration_folds(spark):
     rows = [(1, k, k == 6, k in (2, 9), float(k), 0.0) for k in range(12)]
     out = [r.source for r in folds.propagate_calibration(spark.createDataFrame(rows, "m long, frame_id long, scene_cut boolean, valid boolean, px double, py double"), ["m"]).orderBy("frame_id").collect()]
     assert out[0] == "propagated" and out[2] == "measured" and out[5] == "propagated" and out[6] == "propagated"
+
+
+def _naive(values):
+    total = 0.0
+    for v in values:  # sum() makes up for lost digits
+        total += v
+    return total
+
+
+def test_votes_do_not_depend_on_where_rows_lie(spark):
+    """Sums that are equal but for their last digits decide by the order of frames and tracks, not of partitions."""
+    from tracklake.operators import canonical
+
+    weights = [0.1, 0.2, 0.3, 0.7, 0.9, 0.11, 0.17, 0.23] * 8
+    assert _naive(weights) != _naive(weights[::-1])
+    rows = [(1, f, 0, "team_1", w, True) for f, w in enumerate(weights)] + [(1, f, 1, "team_0", w, True) for f, w in enumerate(weights[::-1])]
+    want = "team_1" if _naive(weights) > _naive(weights[::-1]) else "team_0"
+    cols = "match_id long, frame_id long, track_id long, team_id string, team_confidence double, valid boolean"
+    displays = spark.createDataFrame([(1, 0, 5), (1, 1, 5)], "match_id long, track_id long, display_id long")
+    got = []
+    for step in (1, 3, 7, 11):
+        order = sorted(range(len(rows)), key=lambda k: (k * step) % 127)
+        ids = spark.createDataFrame([rows[k] for k in order], cols).coalesce(1)
+        got += [r.team_id for r in canonical.display_teams(ids, displays, ["match_id"]).select("team_id").distinct().collect()]
+    assert got == [want] * 4

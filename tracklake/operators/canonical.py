@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.geometry import inverse, matrix, project, to_pitch
 from tracklake.functions.labels import action_status, known_team
-from tracklake.operators.windows import first_by, mode_by
+from tracklake.operators.windows import first_by, mode_by, ordered_sum
 
 
 def people(rows: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def preferred(game: DataFrame, identities: DataFrame, tracks: DataFrame, frame_t
 
 
 def display_teams(identities: DataFrame, displays: DataFrame, match: list[str]) -> DataFrame:
-    """identities with one team for all tracks of a display id, the one of most team confidence; tracks without a display
-    id, and displays without any team, keep theirs."""
+    """identities with one team for all tracks of a display id, the one of most team confidence, summed by frame and
+    track; tracks without a display id, and displays without any team, keep theirs."""
     member = identities.join(displays.select(*match, "track_id", "display_id"), [*match, "track_id"], "left")
-    votes = member.where("display_id is not null and team_id is not null").groupBy(*match, "display_id", "team_id").agg(F.sum("team_confidence").alias("vote"))
+    votes = member.where("display_id is not null and team_id is not null").groupBy(*match, "display_id", "team_id").agg(ordered_sum(F.col("team_confidence"), "frame_id", "track_id").alias("vote"))
     best = first_by(votes, [*match, "display_id"], F.desc("vote"), "team_id").select(*match, "display_id", F.col("team_id").alias("locked"))
     out = member.join(best, [*match, "display_id"], "left")
     return out.withColumns({"team_id": F.coalesce("locked", "team_id"), "valid": F.coalesce("valid", F.lit(False)) | F.col("locked").isNotNull()}).select(*identities.columns, "display_id")

@@ -69,6 +69,13 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str, rows: int = 1
     return df.withColumn("first_by", F.row_number().over(w)).where(F.col("first_by") <= rows).drop("first_by")
 
 
+def ordered_sum(value: Column, *order: str) -> Column:
+    """Sum over a bounded group in an order that has no ties, so that its last digits, and what they decide, don't
+    depend on where rows lie; NULL without a value."""
+    items = F.array_sort(F.collect_list(F.struct(*order, value.cast("double").alias("ordered_value"))))
+    return F.when(F.count(value) > 0, F.aggregate(items, F.lit(0.0), lambda s, x: s + F.coalesce(x["ordered_value"], F.lit(0.0))))
+
+
 def mode_by(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """(keys, value, weight): the value with the largest summed weight, the smallest one on a tie."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.lit(1.0) if weight is None else weight).alias("weight"))
