@@ -272,3 +272,17 @@ def test_votes_do_not_depend_on_where_rows_lie(spark):
         ids = spark.createDataFrame([rows[k] for k in order], cols).coalesce(1)
         got += [r.team_id for r in canonical.display_teams(ids, displays, ["match_id"]).select("team_id").distinct().collect()]
     assert got == [want] * 4
+
+
+def test_nearest_team_does_not_depend_on_where_rows_lie(spark):
+    """Two teams of the same places, of which one is nearer by the last digit of its mean; equal means give the first team."""
+    places = [0.1, 0.2, 0.3, 0.7, 0.9, 0.11, 0.17, 0.23] * 8
+    far = {"team_0": _naive(places) / 64, "team_1": _naive(places[::-1]) / 64}
+    assert far["team_0"] != far["team_1"]
+    cols = "frame_id long, track_id long, team_id string, x_field double, y_field double"
+    asked = spark.createDataFrame([(0, 99, 0.0, 0.0), (1, 99, 0.0, 0.0)], "frame_id long, track_id long, x_field double, y_field double")
+    rows = [(0, t, s, x, 0.0) for s, xs in (("team_0", places), ("team_1", places[::-1])) for t, x in enumerate(xs)] + [(1, t, s, x, 0.0) for s in ("team_0", "team_1") for t, x in enumerate(places)]
+    for step in (1, 3, 5, 11):
+        players = spark.createDataFrame(sorted(rows, key=lambda r: (r[1] * step) % 67), cols).coalesce(1)
+        got = {r.frame_id: r.resolved_team for r in team.nearest_team(asked, players, ["frame_id"]).collect()}
+        assert got == {0: min(far, key=far.get), 1: "team_0"}, step

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.geometry import PITCH_LENGTH, PITCH_WIDTH, distance, finite
 from tracklake.functions.labels import bin_of
-from tracklake.operators.windows import mode_by
+from tracklake.operators.windows import mode_by, ordered_sum
 
 
 def shape_ready(min_confidence: float = 0.6) -> Column:
@@ -96,8 +96,10 @@ def team_rollup(players: DataFrame, team: str = "team_id", player: str = "track_
 
 
 def nearest_team(queries: DataFrame, players: DataFrame, keys: list[str]) -> DataFrame:
-    """queries with the team whose centroid of the frame is nearer; NULL if no team is known."""
-    c = players.where("team_id is not null").groupBy(*keys, "team_id").agg(F.avg("x_field").alias("tx"), F.avg("y_field").alias("ty"))
+    """queries with the team whose centroid of the frame (summed by track) is nearer, the first by name where both are as
+    near; NULL if no team is known."""
+    mean = lambda c: ordered_sum(F.col(c), "track_id") / F.count(c)
+    c = players.where("team_id is not null").groupBy(*keys, "team_id").agg(mean("x_field").alias("tx"), mean("y_field").alias("ty"))
     near = queries.join(c.withColumnRenamed("team_id", "near_team"), keys, "left")
     d = distance(F.col("x_field"), F.col("y_field"), F.col("tx"), F.col("ty"))
     return near.groupBy(*queries.columns).agg(F.min_by("near_team", F.struct(d, "near_team")).alias("resolved_team"))
