@@ -713,3 +713,13 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_anchors_spread_over_all_places(spark):
+    """Anchors are smallest hashes; their places must be even, or usual ones of a large table pass for frequent ones and
+    all their strings are dealt and merged."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, rng.integers(97, 123, 40_000, dtype=np.uint8).tobytes().decode()) for k in range(12)], "doc_id long, text string")
+    counts = substrings.sketch(docs, "text", bits=8)
+    assert counts.min() > 0.5 * counts.mean() and counts.max() < 1.5 * counts.mean()
+    assert (substrings.shares(counts * 1000) == 1).all()

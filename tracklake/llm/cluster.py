@@ -30,9 +30,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder and returns it with its lineage cut. Shuffles that only df needed are
+    let go at once: Spark deletes their files when the driver collects garbage, which may be long after."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def discard(df: DataFrame) -> None:

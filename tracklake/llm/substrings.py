@@ -113,6 +113,12 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, doc0: int, shift
     return doc[first] + doc0, first - offsets[doc[first]] + shift, end - 1 + length - first, p - first, gram, context
 
 
+def place_of(gram: np.ndarray, bits: int) -> np.ndarray:
+    """An anchor's place among 2**bits. An anchor is the smallest hash of its window, so its hash is hashed again to
+    spread over all places."""
+    return (X.mix(gram) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
     """Anchors by place of a hash: 2**bits counts, summed over all tasks in pieces. Equal contexts
     of one slice count once, as they are sent once."""
@@ -124,7 +130,7 @@ def sketch(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray:
             for s in X.slices(b.column(0)):
                 for *_, gram, context in anchors(s.buf, s.offsets):
                     _, once = np.unique(context, return_index=True)
-                    total += np.bincount((gram[once] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    total += np.bincount(place_of(gram[once], bits), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
     rows = tree_sum(docs.select(text).mapInArrow(run, "piece int, counts binary"), (1 << bits) // pieces).collect()
@@ -181,6 +187,15 @@ def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray, shards: int =
     return _rows(1, (X.mix(d[first].view(np.uint64)) % np.uint64(shards)).astype(np.int32), d[first], [x.tobytes() for x in np.split(both, first[1:])] if len(first) else [])
 
 
+def _planes(e: np.ndarray) -> bytes:
+    """Entries byte by byte, all first bytes before all second ones, so that a shuffle compresses their zeros."""
+    return e.view(np.uint8).reshape(len(e), _ENTRY.itemsize).T.tobytes()
+
+
+def _entries(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(_ENTRY.itemsize, -1).T).view(_ENTRY).reshape(-1)
+
+
 def scan(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, shards: int) -> DataFrame:
     """Rows of kind 0, packed contexts of a shard, and of kind 1."""
     bits = int(counts.size).bit_length() - 1
@@ -194,12 +209,12 @@ def scan(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, shards: in
             dup = e[same]
             yield _covered(dup["doc"], dup["start"], dup["start"] + dup["size"], shards)
             e = e[~same]
-            deal = deal_of[(e["gram"] >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+            deal = deal_of[place_of(e["gram"], bits)].astype(np.uint64)
             shard = (X.mix(e["gram"] + e["context"] % deal * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             e, shard = e[order], shard[order]
             first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            yield _rows(0, shard[first], None, [x.tobytes() for x in np.split(e, first[1:])])
+            yield _rows(0, shard[first], None, [_planes(x) for x in np.split(e, first[1:])])
 
         for b in batches:
             b = b.filter(b.column(0).is_valid())
@@ -224,19 +239,19 @@ def scan(docs: DataFrame, id_col: str, text: str, counts: np.ndarray, shards: in
 def settle(packed: DataFrame, counts: np.ndarray) -> DataFrame:
     """Rows of kind 1 (those of the scan too), and of kind 2: contexts to fetch, packed by document, with their shard."""
     bits = int(counts.size).bit_length() - 1
-    dealt = np.flatnonzero(shares(counts) > 1).astype(np.uint64)
+    dealt = np.flatnonzero(shares(counts) > 1)
 
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
         ready = pc.equal(t["kind"], 1)
         carried, t = t.filter(ready).to_batches(), t.filter(pc.invert(ready))
-        e, same = _earliest(np.concatenate([np.empty(0, _ENTRY), *[np.frombuffer(x.as_py(), _ENTRY) for x in t["payload"]]]))
+        e, same = _earliest(np.concatenate([np.empty(0, _ENTRY), *[_entries(x.as_py()) for x in t["payload"]]]))
         dup = e[same]
         out = [*carried, _covered(dup["doc"], dup["start"], dup["start"] + dup["size"])]
         e = e[~same]
         first = np.flatnonzero(np.concatenate([[True], e["gram"][1:] != e["gram"][:-1]])[: len(e)])
         many = np.repeat(np.diff(np.concatenate([first, [len(e)]])) > 1, np.diff(np.concatenate([first, [len(e)]])))
-        e = e[many | np.isin(e["gram"] >> np.uint64(64 - bits), dealt)]
+        e = e[many | np.isin(place_of(e["gram"], bits), dealt)]
         if len(e):
             e = e[np.argsort(e["doc"], kind="stable")]
             first = np.flatnonzero(np.concatenate([[True], e["doc"][1:] != e["doc"][:-1]]))
@@ -289,7 +304,7 @@ def arrays(contexts: DataFrame, counts: np.ndarray, shards: int, length: int = L
     """Rows of kind 1 from equal strings within a shard, and of kind 3: distinct strings of dealt
     anchors, as (hash, hash, document, start) in order, by the shard where they are to be merged."""
     bits = int(counts.size).bit_length() - 1
-    dealt = np.flatnonzero(shares(counts) > 1).astype(np.uint64)
+    dealt = np.flatnonzero(shares(counts) > 1)
     string = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i8")])
 
     def run(t: pa.Table) -> pa.Table:
@@ -332,7 +347,7 @@ def arrays(contexts: DataFrame, counts: np.ndarray, shards: int, length: int = L
         head = np.maximum.accumulate(np.where(~later, np.arange(len(sa)), 0)) if len(sa) else np.empty(0, np.int64)
         cover &= (doc != doc[head]) | (start != start[head])
         out = [_covered(doc[cover], start[cover], start[cover] + length)]
-        hot = ~later & np.isin(e["gram"][who] >> np.uint64(64 - bits), dealt)
+        hot = ~later & np.isin(place_of(e["gram"], bits)[who], dealt)
         if hot.any():
             spot = sa[hot]
             raw = (codes & 255).astype(np.uint8)
