@@ -310,3 +310,15 @@ def test_hard_negatives_by_blocks(spark, monkeypatch):
             assert r.pairs == len(x) and np.allclose([r.p50, r.p75, r.p90], np.percentile(x, [50, 75, 90]), atol=1e-12, rtol=0)
     blank = tracks.where("track_id in (900, 901)")
     assert [tuple(r) for r in identity.hard_negative_thresholds(blank, ["team"]).collect()] == [(0, 0, None, None, None)]
+
+
+def test_clusters_by_blocks(spark, monkeypatch):
+    """As by rows of all pairs, whatever the blocks."""
+    tracks = _met_tracks(spark)
+    ids = lambda d: d.select("team", F.col("l.track_id").alias("a"), F.col("r.track_id").alias("b"), V.cosine_or_zero(F.col("l.embedding"), F.col("r.embedding")).alias("score"))
+    near, never = (ids(identity.overlapping_pairs(tracks, ["team"], tolerance_ms=x)) for x in (4000.0, 0.0))
+    want = sorted(map(tuple, identity.constrained_clusters(near, ["team"], never, min_score=0.1).collect()))
+    assert len({(t, c) for t, _, c in want}) < len(want)
+    for block in (4096, 7):
+        monkeypatch.setattr(identity, "BLOCK", block)
+        assert sorted(map(tuple, identity.clusters_apart(tracks, ["team"], 4000.0, min_score=0.1).collect())) == want

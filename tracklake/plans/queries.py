@@ -569,11 +569,7 @@ def identity_resolve(t: Tables) -> DataFrame:
 
 @query()
 def constrained_clusters(t: Tables) -> DataFrame:
-    tracks = _reid_tracks(t)
-    near = identity.overlapping_pairs(tracks, ["team"], tolerance_ms=4000.0)
-    scored = near.select("team", F.col("l.track_id").alias("a"), F.col("r.track_id").alias("b"), V.cosine_or_zero(F.col("l.embedding"), F.col("r.embedding")).alias("score"))
-    never = identity.overlapping_pairs(tracks, ["team"], tolerance_ms=0.0).select("team", F.col("l.track_id").alias("a"), F.col("r.track_id").alias("b"))
-    return identity.constrained_clusters(scored, ["team"], never, min_score=0.1)
+    return identity.clusters_apart(_reid_tracks(t), ["team"], tolerance_ms=4000.0, min_score=0.1)
 
 
 @query()
