@@ -723,3 +723,12 @@ def test_anchors_spread_over_all_places(spark):
     counts = substrings.sketch(docs, "text", bits=8)
     assert counts.min() > 0.5 * counts.mean() and counts.max() < 1.5 * counts.mean()
     assert (substrings.shares(counts * 1000) == 1).all()
+
+
+def test_lines_are_cut_from_many_texts_at_once(monkeypatch):
+    """The same lines go whether texts are parsed together or one by one."""
+    texts = [t.encode() for t in ("a b c\nd e f\n\na b c", "\n\nd e f\nx 12 y z", "x 7 y z", "  \n", "ä ö ü\na b c\n")]
+    line = {(p["line"].view(np.int64)[k]) for t in texts for p in [line_templates.parse(np.frombuffer(t, np.uint8), np.array([0, len(t)]))] for k in range(0, len(p["line"]), 2)}
+    lost = [np.array(sorted(line)[k % 2 :], dtype=np.int64) for k in range(len(texts))]
+    alone = [line_templates._gone([t], [x])[0] for t, x in zip(texts, lost, strict=True)]
+    assert line_templates._gone(texts, lost) == alone and any(alone)

@@ -56,6 +56,8 @@ SKETCH_BITS = 17
 HOT, BUCKET = 50_000, 500_000
 #: Bytes of lines a task holds before it gives them out.
 HELD = 32 << 20
+#: Bytes of texts that are parsed together where lines are cut.
+TOGETHER = 1 << 20
 _MASK = np.uint64(1)
 
 
@@ -360,6 +362,14 @@ def _pressed(docs: DataFrame, at: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"in_{k} {'binary' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)))
 
 
+def _gone(texts: list[bytes], lost: list[np.ndarray]) -> list[set[int]]:
+    """Numbers of the lines of each text that are among its lost ones; the texts are parsed as one slice."""
+    p = parse(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    bound = np.searchsorted(p["doc"], np.arange(len(texts) + 1))
+    line = p["line"].view(np.int64)
+    return [set(p["number"][a:b][np.isin(line[a:b], x)].tolist()) for a, b, x in zip(bound, bound[1:], lost, strict=False)]
+
+
 def _stripped(docs: DataFrame, id_col: str, text: str, min_docs: int | None) -> DataFrame:
     """The columns of docs as in_0, in_1, ..., text being what remains, and line_count and line_dropped."""
     template_docs = min_docs or TEMPLATE_DOCS
@@ -385,20 +395,20 @@ def _stripped(docs: DataFrame, id_col: str, text: str, min_docs: int | None) ->
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
             column, lost = b.column(at + 1), b.column(0)
-            out, n_lines, n_lost = [], [], []
+            out: list[bytes | None] = [None] * b.num_rows
+            n_lines, n_lost = [1] * b.num_rows, [0] * b.num_rows
+            held, size = [], 0
             for k in range(b.num_rows):
                 raw = open_.decompress(column[k].as_py()) if column[k].is_valid else None
-                n_lines.append(1 + (raw or b"").count(b"\n"))
-                if not lost[k].is_valid:
-                    out.append(raw)
-                    n_lost.append(0)
-                    continue
-                parts = raw.split(b"\n")
-                buf = np.frombuffer(raw, np.uint8)
-                p = parse(buf, np.array([0, len(buf)]))
-                gone = set(p["number"][np.isin(p["line"].view(np.int64), lost[k].values.to_numpy())].tolist())
-                out.append(b"\n".join(x for i, x in enumerate(parts) if i not in gone))
-                n_lost.append(len(gone))
+                out[k], n_lines[k] = raw, 1 + (raw or b"").count(b"\n")
+                if raw and lost[k].is_valid:
+                    held.append(k)
+                    size += len(raw)
+                if held and (size >= TOGETHER or k == b.num_rows - 1):
+                    for j, gone in zip(held, _gone([out[j] for j in held], [lost[j].values.to_numpy() for j in held]), strict=True):
+                        parts = out[j].split(b"\n")
+                        out[j], n_lost[j] = b"\n".join(x for i, x in enumerate(parts) if i not in gone), len(gone)
+                    held, size = [], 0
             arrays = [pa.array(out, pa.binary()).cast(pa.string()) if i == at + 1 else b.column(i) for i in range(1, b.num_columns)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_lost, pa.int64())], names=[*cols, "line_count", "line_dropped"])
 
