@@ -732,3 +732,42 @@ def test_lines_are_cut_from_many_texts_at_once(monkeypatch):
     lost = [np.array(sorted(line)[k % 2 :], dtype=np.int64) for k in range(len(texts))]
     alone = [line_templates._gone([t], [x])[0] for t, x in zip(texts, lost, strict=True)]
     assert line_templates._gone(texts, lost) == alone and any(alone)
+
+
+def test_word_hashes_tell_words_apart():
+    """Words are hashed eight bytes at a time, the same wherever they are; they differ with any byte and with their length."""
+    words = [b"a" * k + x for k in (*range(26), 55, 56, 57, 63, 64, 65, 71, 200) for x in (b"", b"b", b"\0", b"\xc3\xa4")]
+    words = sorted({x for w in words for x in (w, b"c" + w, w[:-1] + b"d") if x})
+    hashes = []
+    for pad in (b"", b" ", b"xyz 1 "):
+        sep = pad or b"\n"
+        buf = np.frombuffer(pad + sep.join(words), np.uint8)
+        at = len(pad) + np.concatenate([[0], np.cumsum([len(w) + len(sep) for w in words])])[:-1]
+        hashes.append(X.word_hash(buf, at, at + np.array([len(w) for w in words])))
+    assert len(set(hashes[0].tolist())) == len(words) and all((h == hashes[0]).all() for h in hashes)
+
+
+def test_lines_are_parsed_without_work_by_byte(monkeypatch):
+    """The sketch hashes only the tokens that a leaf has; tables of hashes by byte, the cost of op5, aren't made."""
+    text = ("one two three four five six 7\n" * 50 + "x\n\n12 y").encode()
+    buf, offsets, hashed = np.frombuffer(text, np.uint8), np.array([0, len(text)]), []
+    monkeypatch.setattr(X, "prefix_hash", None)
+    true = X.word_hash
+    monkeypatch.setattr(X, "word_hash", lambda b, s, e: hashed.append(len(s)) or true(b, s, e))
+    whole, half = line_templates.parse(buf, offsets), line_templates.parse(buf, offsets, whole=False)
+    assert (whole["leaf"] == half["leaf"]).all() and hashed == [353, 52, 52, 52]
+    assert whole["number"].tolist() == [*range(51), 52] and whole["size"].tolist() == [7] * 50 + [1, 2]
+
+
+def test_tokens_of_a_leaf_are_counted_together(monkeypatch):
+    """Columns are counted in blocks, few calls for many short groups, with the same counts whatever the block."""
+    rng = np.random.default_rng(3)
+    token, n = rng.integers(0, 6, (40, 60)).astype(np.uint64), rng.integers(1, 9, 40)
+    want = np.array([[n[token[:, k] == x].sum() for k, x in enumerate(row)] for row in token])
+    calls, true = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or true(*a, **k))
+    monkeypatch.setattr(np, "unique", None)
+    assert (line_templates._have(token, n) == want).all() and len(calls) == 1
+    for cells in (1, 40, 41, 100, 90_000):
+        monkeypatch.setattr(line_templates, "CELLS", cells)
+        assert (line_templates._have(token, n) == want).all()

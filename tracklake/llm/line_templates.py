@@ -58,37 +58,40 @@ HOT, BUCKET = 50_000, 500_000
 HELD = 32 << 20
 #: Bytes of texts that are parsed together where lines are cut.
 TOGETHER = 1 << 20
+#: Tokens of a leaf that are counted together.
+CELLS = 1 << 17
 _MASK = np.uint64(1)
 
 
 def parse(buf: np.ndarray, offsets: np.ndarray, whole: bool = True) -> dict[str, np.ndarray]:
-    """The lines of a slice that have tokens: document, number of the line in it (from 0), leaf, line (if
-    whole), first token and number of tokens, first byte and end; and the hashes of all masked tokens."""
-    start, end, firsts = X.word_spans(buf, offsets)
-    plain = X.span_hash(X.prefix_hash(buf), start, end)
-    digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57), dtype=np.int64)])
-    masked = digits[end] > digits[start]
-    token = np.where(masked, _MASK, plain)
-    breaks = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int64)])
-    n_docs = len(offsets) - 1
-    doc = X.doc_of(firsts, n_docs)
-    line = breaks[start]
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
+    """The lines of a slice that have tokens: document, number of the line in it (from 0), leaf, first token and
+    number of tokens, first byte and end; if whole, also the line and the hashes of all masked tokens."""
+    start, end, firsts = X.spans((buf - np.uint8(9) > 4) & (buf != 32), offsets)
+    breaks = np.flatnonzero(buf == 10)
+    new = np.zeros(len(start) + 1, dtype=bool)
+    new[np.searchsorted(start, breaks)] = True
+    new[firsts] = True
+    first = np.flatnonzero(new[:-1])
     size = np.diff(np.concatenate([first, [len(start)]]))
+    d = np.searchsorted(firsts, first, side="right") - 1
+    number = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, offsets[:-1])[d]
+    masked = np.zeros(len(start), dtype=bool)
+    masked[np.searchsorted(start, np.flatnonzero((buf >= 48) & (buf <= 57)), side="right") - 1] = True
+    if whole:
+        plain = X.word_hash(buf, start, end)
+        token = np.where(masked, _MASK, plain)
     leaf = size.astype(np.uint64)
     for k in range(DEPTH):
-        at = np.minimum(first + k, len(token) - 1)
-        leaf = np.where(size > k, X.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + token[at]), leaf)
-    d = doc[first]
-    out = {"doc": d, "number": line[first] - breaks[offsets[:-1]][d], "leaf": leaf, "first": first, "size": size, "from": start[first], "to": end[first + size - 1], "token": token}
+        at = np.minimum(first + k, len(start) - 1)
+        kth = token[at] if whole else np.where(masked[at], _MASK, X.word_hash(buf, start[at], end[at]))
+        leaf = np.where(size > k, X.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + kth), leaf)
+    out = {"doc": d, "number": number, "leaf": leaf, "first": first, "size": size, "from": start[first], "to": end[first + size - 1]}
     if whole:
-        n_masked = np.add.reduceat(masked.astype(np.int64), first) if len(first) else size
-        told = 10 * (size - n_masked) >= CONSTANT * size
-        total = np.zeros(len(token) + 1, dtype=np.uint64)
-        np.cumsum(np.where(np.repeat(told, size), token, plain) * X._power("mul", len(token)), out=total[1:])
-        out["line"] = X.mix((total[first + size] - total[first]) * X._power("inv", len(token) + 1)[first] + (size * 2 + ~told).astype(np.uint64))
+        sums = lambda x, of: np.add.reduceat(x, first, dtype=of) if len(first) else np.zeros(0, dtype=of)
+        told = 10 * (size - sums(masked, np.int64)) >= CONSTANT * size
+        total = sums(np.where(np.repeat(told, size), token, plain) * X._power("mul", len(token)), np.uint64)
+        out["line"] = X.mix(total * X._power("inv", len(token) + 1)[first] + (size * 2 + ~told).astype(np.uint64))
+        out["token"] = token
     return out
 
 
@@ -154,7 +157,7 @@ def lines(docs: DataFrame, id_col: str, text: str, spread: np.ndarray, buckets:
             words, least, n, bucket = words.take(pa.array(at[order])), least.take(pa.array(order)), n[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = [*first[1:], len(order)]
-            raw = [press.compress(b"\n".join(x.as_buffer().to_pybytes() for x in words.slice(f, e - f))) for f, e in zip(first, ends, strict=True)]
+            raw = [press.compress(b"\n".join(words.slice(f, e - f).to_pylist())) for f, e in zip(first, ends, strict=True)]
             offsets = pa.array([*first, len(order)], pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())), pa.ListArray.from_arrays(offsets, least)], names=["bucket", "texts", "n", "least"])
 
@@ -181,9 +184,17 @@ def lines(docs: DataFrame, id_col: str, text: str, spread: np.ndarray, buckets:
 def _have(token: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Documents whose line has the same token at the place, for each line and place."""
     out = np.empty(token.shape, dtype=np.int64)
-    for k in range(token.shape[1]):
-        _, at = np.unique(token[:, k], return_inverse=True)
-        out[:, k] = np.bincount(at, weights=n).astype(np.int64)[at]
+    step = max(1, CELLS // max(1, len(n)))
+    for k in range(0, token.shape[1], step):
+        t = np.ascontiguousarray(token[:, k : k + step].T)
+        order = np.argsort(t, axis=1)
+        new = np.ones(t.shape, dtype=bool)
+        each = np.take_along_axis(t, order, axis=1)
+        new[:, 1:] = each[:, 1:] != each[:, :-1]
+        at = np.cumsum(new.reshape(-1)) - 1
+        have = np.empty(t.shape, dtype=np.int64)
+        np.put_along_axis(have, order, np.bincount(at, weights=n[order].reshape(-1)).astype(np.int64)[at].reshape(t.shape), axis=1)
+        out[:, k : k + step] = have.T
     return out
 
 
@@ -265,11 +276,14 @@ def settled(packed: DataFrame, kind: str, spread: np.ndarray, min_docs: int, tem
         dealt = sent.value[(leaf >> np.uint64(64 - bits)).astype(np.int64)] > 1
         template = np.zeros(len(line), dtype=np.uint64)
         order = np.lexsort((line, leaf))
-        for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-            if len(rows) > 1 and size[rows[0]] >= MIN_TOKENS and not dealt[rows[0]] and n[rows].sum() >= template_docs:
-                token = flat[begin[rows][:, None] + np.arange(size[rows[0]])[None, :]]
-                made = leaf_templates(token, n[rows], template_docs)
-                template[rows] = np.where(made > 0, X.mix(made ^ leaf[rows[0]]) | np.uint64(1), np.uint64(0))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(leaf[order]) > 0]))
+        end, one = np.append(first[1:], len(order)), order[first]
+        able = (end - first > 1) & (size[one] >= MIN_TOKENS) & ~dealt[one] & (np.add.reduceat(n[order], first) >= template_docs)
+        for f, e in zip(first[able].tolist(), end[able].tolist(), strict=True):
+            rows = order[f:e]
+            token = flat[begin[rows][:, None] + np.arange(size[rows[0]])[None, :]]
+            made = leaf_templates(token, n[rows], template_docs)
+            template[rows] = np.where(made > 0, X.mix(made ^ leaf[rows[0]]) | np.uint64(1), np.uint64(0))
         # lines of one template share its smallest id, the others keep their own
         _, group = np.unique(np.where(template > 0, template, line), return_inverse=True)
         shared = least_of(group, least, group.max() + 1).take(pa.array(group))
